@@ -76,3 +76,13 @@ def salted_join(
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("__salt", salt).join(many, [*on, "__salt"], how).drop("__salt")
+
+
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Repartition by keys (or evenly) into a fixed number of tasks, for small rows that cost much CPU each.
+
+    The number is given, so adaptive execution doesn't merge the partitions by their size in bytes.
+    """
+    spark = df.sparkSession
+    count = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(count, *keys)
