@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import proportions, termfreq
+from tessera.llm import canonical, proportions, termfreq
 from tessera.sources.tables import load
 
 
@@ -25,6 +25,16 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sample
 
 
+def p2_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed value that is no literal key, with the key it stands for or null."""
+    typed = canonical.typed_values(*(load(spark, folder, t) for t in ("codings", "suggestions", "candidates")))
+    return canonical.mapped_rows(typed, load(spark, folder, "schema_categories"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_rows(spark, folder).filter("category_key is not null").select("src", "row_id", "category_key").distinct()
+
+
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     return termfreq.count_terms(load(spark, folder, "suggestions"), load(spark, folder, "candidates"))
 
@@ -34,5 +44,5 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p5_found, p5_terms)
+    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p5_found, p5_terms)
 }

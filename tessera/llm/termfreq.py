@@ -29,7 +29,7 @@ DUCKDB_MEMORY = "400MB"
 def term_key(value: Column) -> Column:
     """Lower case; runs of white space, hyphens and underscores become one underscore; outer ones go; null words are null."""
     text = F.lower(value)
-    text = F.regexp_replace(text, r"(?U)[\s _-]+", "_")
+    text = F.regexp_replace(text, r"(?U)[\s_-]+", "_")
     text = F.regexp_replace(text, r"^_+|_+$", "")
     return F.when(~text.isin(*NULL_WORDS), text)
 
