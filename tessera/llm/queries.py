@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import canonical, proportions, termfreq
+from tessera.llm import canonical, consensus, proportions, termfreq
 from tessera.sources.tables import load
 
 
@@ -43,6 +43,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_terms(spark, folder).filter("mark is not null").select("dimension", "term", "mark")
 
 
+def p6_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.consensus(load(spark, folder, "codings"), load(spark, folder, "schema_categories"))[0]
+
+
+def p6_coders(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.consensus(load(spark, folder, "codings"), load(spark, folder, "schema_categories"))[1]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_labels(spark, folder).filter("votes >= 3 and final_category is not null").select("id", "dimension", "final_category")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p5_found, p5_terms)
+    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p5_found, p5_terms, p6_found, p6_labels, p6_coders)
 }
