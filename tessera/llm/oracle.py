@@ -40,4 +40,11 @@ ORACLE_SQL: dict[str, str] = {
     "p1_availability": P1_AVAILABILITY + "select set_name, facet, category, wanted, available from joined",
     "p5_terms": P5_TERMS + "select dimension, term, occurrences, papers, mark from terms",
     "p5_found": P5_TERMS + "select dimension, term, mark from terms where mark is not null",
+    # pieces stand for tokens here: every text and every share is far from its limit under any usual tokenizer
+    "p7_found": r"""
+      select doc_id from documents
+      where length(regexp_replace(text, '[^\p{L}]', '', 'g')) / 4.0 + len(regexp_extract_all(text, '[0-9]{1,3}|[^\s\p{L}0-9]+')) > 2048""",
+    "p8_found": """
+      select t.mix_id, t.source from mix_targets t left join (select source, sum(length(text)) / 4.0 as tokens from documents group by source) d on d.source = t.source
+      where coalesce(d.tokens, 0) * t.max_repeats < t.target_weight * t.budget_tokens""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import canonical, consensus, proportions, termfreq
+from tessera.llm import canonical, consensus, mixing, packing, proportions, termfreq
 from tessera.sources.tables import load
 
 
@@ -55,6 +55,30 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_labels(spark, folder).filter("votes >= 3 and final_category is not null").select("id", "dimension", "final_category")
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(load(spark, folder, "documents"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_containers(spark, folder).filter("parts > 1").select("doc_id").distinct()
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, folder))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_report(spark, folder).filter("short").select("mix_id", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p5_found, p5_terms, p6_found, p6_labels, p6_coders)
+    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p5_found, p5_terms, p6_found, p6_labels, p6_coders, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report)
 }
