@@ -86,3 +86,12 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     spark = df.sparkSession
     count = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(count, *keys)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread rows evenly where a scan has fewer partitions than there are cores; a large scan stays as it is, unshuffled.
+
+    For steps that cost much CPU for each row: a few compressed row groups can hold hours of work.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
