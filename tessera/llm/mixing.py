@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import VOCABULARY, token_count
-from tessera.runtime import bounded_broadcast, cut
+from tessera.runtime import bounded_broadcast, cut, widen
 
 RAMP = 0.5
 SLICES = 64
@@ -19,7 +19,7 @@ SLICES = 64
 
 def counted_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, text_key, tokens); rows without source, text or tokens cannot be drawn and are left out."""
-    rows = documents.filter("source is not null and text is not null").select("doc_id", "source", F.md5("text").alias("text_key"), token_count("text", vocabulary).alias("tokens"))
+    rows = widen(documents.filter("source is not null and text is not null").select("doc_id", "source", "text")).select("doc_id", "source", F.md5("text").alias("text_key"), token_count("text", vocabulary).alias("tokens"))
     return rows.filter("tokens > 0")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import VOCABULARY, token_count
-from tessera.runtime import cut
+from tessera.runtime import cut, widen
 
 CAPACITY = 2048
 LARGE = 0.125
@@ -26,7 +26,7 @@ RANK_SLICE = 100_000
 
 def pieces_of(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, part, parts, tokens): a document is one piece unless it exceeds the capacity. Without tokens there is no piece."""
-    counted = documents.select("doc_id", token_count("text", vocabulary).alias("all"))
+    counted = widen(documents.select("doc_id", "text")).select("doc_id", token_count("text", vocabulary).alias("all"))
     parts = F.ceil(F.col("all") / capacity).cast("int")
     rows = counted.filter("all > 0").withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
     return rows.select("doc_id", "part", "parts", F.when(F.col("part") < F.col("parts"), capacity).otherwise(F.col("all") - (F.col("parts") - 1) * capacity).cast("int").alias("tokens"))

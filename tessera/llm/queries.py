@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import canonical, consensus, mixing, packing, proportions, termfreq
+from tessera.llm import canonical, consensus, languages, mixing, packing, proportions, termfreq
 from tessera.sources.tables import load
 
 
@@ -35,6 +36,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_rows(spark, folder).filter("category_key is not null").select("src", "row_id", "category_key").distinct()
 
 
+def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
+    found = languages.detect_languages(load(spark, folder, "papers"))
+    return found.select("paper_no", "field", F.inline("segments"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.misdeclared(languages.detect_languages(load(spark, folder, "papers")))
+
+
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     return termfreq.count_terms(load(spark, folder, "suggestions"), load(spark, folder, "candidates"))
 
@@ -80,5 +90,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p5_found, p5_terms, p6_found, p6_labels, p6_coders, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report)
+    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p3_found, p3_segments, p5_found, p5_terms, p6_found, p6_labels, p6_coders, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report)
 }
