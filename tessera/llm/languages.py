@@ -63,7 +63,13 @@ gereedschappen nodig, die al in de kelder liggen. Het is mogelijk dat de uitkoms
 
 _BOUNDARY = re.compile(r"""(?<=[.!?…])(?<![\s(.][A-ZÄÖÜ]\.)["'”»)\]]*\s+(?=["'„“«(\[¿¡]*[^\W\d_a-zäöüßàâçéèêëîïôùûñáíóú])""")
 _BROKEN = re.compile(r"[-­¬‐]\s*\n\s*")
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"(?:[^\w\x01]|[\d_])+")
+_MARK = re.compile(r" *\x01 *")
+#: Letters with a vector of their own; all others share one.
+ALPHABET = " abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
+_LETTERS = len(ALPHABET) + 1
+_PLACE = np.full(0x200, len(ALPHABET), dtype=np.int64)
+_PLACE[[ord(x) for x in ALPHABET]] = np.arange(len(ALPHABET))
 _ENDED = re.compile(r"""[.!?…]["'”»)\]]*\s*$""")
 
 
@@ -74,49 +80,76 @@ def denoted(label: Column) -> Column:
     return F.try_element_at(codes, name)
 
 
+def sentence_grams(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams of a whole text, and where each sentence's own begin and end among them.
+
+    Letters are places in ALPHABET; runs of anything else are one blank, and a sentence has blanks around it.
+    """
+    marked = _OTHER.sub(" ", _BROKEN.sub("", "\x01".join(text[a:b].replace("\x01", " ") for a, b in spans)).lower())
+    marked = " " + _MARK.sub(" \x01 ", marked).strip(" ") + " "
+    points = np.frombuffer(marked.encode("utf-32-le"), dtype=np.uint32)
+    marks = np.flatnonzero(points == 1)
+    letters = _PLACE[np.minimum(points, len(_PLACE) - 1)]
+    grams = (letters[:-2] * _LETTERS + letters[1:-1]) * _LETTERS + letters[2:]
+    starts = np.concatenate([[0], marks + 1])
+    ends = np.maximum(np.concatenate([marks, [len(points)]]) - 2, starts)
+    return grams, starts, ends
+
+
 class Space:
     """Letter and trigram vectors; the same in every process, since a letter's vector comes from its code point."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
-        self.dimensions = dimensions
-        self.letters: dict[str, np.ndarray] = {}
-        self.rows: dict[str, int] = {}
-        self.table = np.empty((1024, dimensions), dtype=np.int8)
-
-    def letter(self, letter: str) -> np.ndarray:
-        if letter not in self.letters:
-            self.letters[letter] = np.random.default_rng(ord(letter)).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
-        return self.letters[letter]
-
-    def row(self, gram: str) -> int:
-        found = self.rows.get(gram)
-        if found is None:
-            if len(self.rows) >= CACHED_GRAMS:
-                self.rows.clear()
-            found = self.rows[gram] = len(self.rows)
-            if found >= len(self.table):
+        self.letters = np.array([np.random.default_rng(ord(x)).integers(0, 2, dimensions) * 2 - 1 for x in ALPHABET + "\ufffd"], dtype=np.float32)
+        self.row = np.full(_LETTERS**3, -1, dtype=np.int32)
+        self.table = np.empty((4096, dimensions), dtype=np.float32)
+        self.used = 0
+
+    def vectors(self, grams: np.ndarray) -> np.ndarray:
+        """Bound vectors: the letters' vectors, the first rotated twice and the second once, multiplied."""
+        a, b, c = grams // _LETTERS**2, grams // _LETTERS % _LETTERS, grams % _LETTERS
+        return np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
+
+    def bundle(self, grams: np.ndarray) -> np.ndarray:
+        """Sum of the trigrams' vectors."""
+        kinds, times = np.unique(grams, return_counts=True)
+        fresh = kinds[self.row[kinds] < 0]
+        if self.used + len(fresh) > CACHED_GRAMS:
+            self.row[:] = -1
+            self.used, fresh = 0, kinds
+        if len(fresh):
+            while self.used + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            a, b, c = gram
-            self.table[found] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
-        return found
-
-    def bundle(self, text: str) -> np.ndarray | None:
-        """Sum of a text's trigram vectors; None without trigrams."""
-        plain = " " + _OTHER.sub(" ", _BROKEN.sub("", text).lower()).strip() + " "
-        if len(plain) < 5:
-            return None
-        total = np.zeros(self.dimensions, dtype=np.int32)
-        grams = list(map("".join, zip(plain, plain[1:], plain[2:])))
-        for at in range(0, len(grams), 2_000):  # long texts in slices, so that the gathered rows stay small
-            part = grams[at : at + 2_000]
-            fresh = {g for g in part if g not in self.rows}
-            if len(self.rows) + len(fresh) > CACHED_GRAMS:
-                self.rows.clear()
-            total += self.table_sum([self.row(g) for g in part])
-        return total
-
-    def table_sum(self, rows: list[int]) -> np.ndarray:
-        return self.table[rows].sum(axis=0, dtype=np.int32)
+            self.table[self.used : self.used + len(fresh)] = self.vectors(fresh)
+            self.row[fresh] = np.arange(self.used, self.used + len(fresh))
+            self.used += len(fresh)
+        return times.astype(np.float32) @ self.table[self.row[kinds]]
+
+
+class Nearest:
+    """Dot products of sentences with the prototypes.
+
+    A bundle is a sum, so its product with a prototype is the sum of its trigrams' products, which are kept. The norm of
+    the bundle is the same for all prototypes: it changes neither the order of the cosines nor their ratios.
+    """
+
+    def __init__(self, prototypes: np.ndarray):
+        self.space, self.prototypes = Space(prototypes.shape[1]), prototypes.astype(np.float32)
+        self.have = np.zeros(_LETTERS**3, dtype=bool)
+        self.products = np.zeros((_LETTERS**3, len(prototypes)), dtype=np.float32)
+
+    def products_of(self, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A row of products for each sentence."""
+        known = self.have[grams]
+        if not known.all():
+            fresh = np.unique(grams[~known])
+            for at in range(0, len(fresh), 1_000):
+                part = fresh[at : at + 1_000]
+                self.products[part] = self.space.vectors(part) @ self.prototypes.T
+            self.have[fresh] = True
+        sums = np.zeros((len(grams) + 1, self.products.shape[1]))
+        np.cumsum(self.products[grams], axis=0, dtype=np.float64, out=sums[1:])
+        return sums[ends] - sums[starts]
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
@@ -132,10 +165,6 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=-1, keepdims=True), 1e-9)
 
 
-def cosines(prototypes: np.ndarray, bundle: np.ndarray) -> np.ndarray:
-    return prototypes @ (bundle / max(np.linalg.norm(bundle), 1e-9))
-
-
 def train(texts: list[str], dimensions: int = DIMENSIONS, epochs: int = EPOCHS) -> np.ndarray:
     """Unit prototypes in the order of LANGUAGES from sample texts and the seeds.
 
@@ -144,14 +173,17 @@ def train(texts: list[str], dimensions: int = DIMENSIONS, epochs: int = EPOCHS)
     and taken from the wrong one, epoch by epoch.
     """
     space = Space(dimensions)
-    seeds = np.array([space.bundle(SEEDS[code]) for code in LANGUAGES], dtype=float)
+
+    def bundles_of(text: str) -> list[np.ndarray]:
+        grams, starts, ends = sentence_grams(text, sentence_spans(text))
+        return [space.bundle(grams[a:b]) for a, b in zip(starts, ends) if b - a >= 2]
+
+    seeds = np.array([np.sum(bundles_of(SEEDS[code]), axis=0) for code in LANGUAGES], dtype=float)
     bundles, text_no = [], []
     for number, text in enumerate(texts):
-        for a, b in sentence_spans(text or ""):
-            bundle = space.bundle(text[a:b])
-            if bundle is not None:
-                bundles.append(bundle)
-                text_no.append(number)
+        own = bundles_of(text)
+        bundles += own
+        text_no += [number] * len(own)
     if not bundles:
         return unit(seeds)
     matrix, numbers = np.array(bundles, dtype=np.float32), np.array(text_no)
@@ -187,19 +219,22 @@ def train(texts: list[str], dimensions: int = DIMENSIONS, epochs: int = EPOCHS)
     return prototypes
 
 
-def segments_of(text: str, space: Space, prototypes: np.ndarray) -> list[tuple[int, int, str, float, int]]:
+def segments_of(text: str, nearest: Nearest) -> list[tuple[int, int, str, float, int]]:
     """(start, end, language, confidence, whole sentences) of every stretch of one language, in text order."""
     found: list[list] = []
-    for a, b in sentence_spans(text):
-        bundle = space.bundle(text[a:b])
-        if bundle is None:
+    spans = sentence_spans(text)
+    if not spans:
+        return []
+    grams, starts, ends = sentence_grams(text, spans)
+    products = nearest.products_of(grams, starts, ends)
+    order = products.argsort(axis=1)[:, ::-1]
+    for (a, b), near, ranks, size in zip(spans, products, order, ends - starts):
+        if size < 2:
             if found:
                 found[-1][1] = b
             continue
-        near = cosines(prototypes, bundle)
-        order = near.argsort()
-        best, second = near[order[-1]], near[order[-2]]
-        code, confidence = LANGUAGES[order[-1]], float(np.clip((best - second) / max(best, 1e-9), 0, 1))
+        best, second = near[ranks[0]], near[ranks[1]]
+        code, confidence = LANGUAGES[ranks[0]], min(max(float((best - second) / max(best, 1e-9)), 0.0), 1.0)
         whole = int(bool(_ENDED.search(text[a:b])) and len(text[a:b].split()) >= 3)
         if found and found[-1][2] == code:
             last = found[-1]
@@ -207,7 +242,7 @@ def segments_of(text: str, space: Space, prototypes: np.ndarray) -> list[tuple[i
             last[3].append(confidence)
         else:
             found.append([a, b, code, [confidence], whole])
-    return [(a, b, code, float(np.mean(c)), n) for a, b, code, c, n in found]
+    return [(a, b, code, sum(c) / len(c), n) for a, b, code, c, n in found]
 
 
 SEGMENT = "struct<start: int, end: int, lang: string, confidence: double, sentences: int>"
@@ -215,7 +250,7 @@ SEGMENT = "struct<start: int, end: int, lang: string, confidence: double, senten
 
 def _detect(prototypes: np.ndarray, fields: list[str], keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space = Space(prototypes.shape[1])
+        nearest = Nearest(prototypes)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in [*keys, "field", "segments"]}
             for field in fields:
@@ -225,7 +260,7 @@ def _detect(prototypes: np.ndarray, fields: list[str], keys: list[str]) -> Calla
                     for k in keys:
                         out[k].append(batch[k].iloc[row])
                     out["field"].append(field)
-                    out["segments"].append([dict(zip(("start", "end", "lang", "confidence", "sentences"), s)) for s in segments_of(text, space, prototypes)])
+                    out["segments"].append([dict(zip(("start", "end", "lang", "confidence", "sentences"), s)) for s in segments_of(text, nearest)])
             yield pd.DataFrame(out)
 
     return run
