@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, consensus, languages, mixing, packing, proportions, termfreq
+from tessera.llm import canonical, consensus, languages, mixing, packing, proportions, residue, termfreq
 from tessera.sources.tables import load
 
 
@@ -89,6 +89,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_report(spark, folder).filter("short").select("mix_id", "source")
 
 
+def p9_marked(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.mark_residue(load(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_marked(spark, folder).filter("excluded").select("doc_id")
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_marked(spark, folder).filter("not excluded").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p3_found, p3_segments, p5_found, p5_terms, p6_found, p6_labels, p6_coders, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report)
+    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p3_found, p3_segments, p5_found, p5_terms, p6_found, p6_labels, p6_coders, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_marked, p9_kept)
 }
