@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, consensus, languages, mixing, packing, proportions, residue, termfreq
+from tessera.llm import canonical, consensus, languages, mixing, ocr, packing, proportions, residue, termfreq
 from tessera.sources.tables import load
 
 
@@ -45,6 +45,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return languages.misdeclared(languages.detect_languages(load(spark, folder, "papers")))
 
 
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.repair_papers(load(spark, folder, "papers")).select("paper_no", "field", "repaired")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.repair_papers(load(spark, folder, "papers")).select("paper_no", "field", F.inline("changes"))
+
+
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     return termfreq.count_terms(load(spark, folder, "suggestions"), load(spark, folder, "candidates"))
 
@@ -102,5 +110,5 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p3_found, p3_segments, p5_found, p5_terms, p6_found, p6_labels, p6_coders, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_marked, p9_kept)
+    f.__name__: f for f in (p1_found, p1_availability, p1_sample, p2_found, p2_rows, p3_found, p3_segments, p4_found, p4_repaired, p5_found, p5_terms, p6_found, p6_labels, p6_coders, p7_found, p7_containers, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_marked, p9_kept)
 }
