@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut, salted_join
+from tessera.runtime import cut, salted_join, spread
 
 BLOCK_ROWS = 20_000
 RIDGE = 1e-3
@@ -257,7 +257,7 @@ def draw_samples(working_sets: DataFrame, targets: DataFrame, seed: int = 7, blo
     papers = cut(with_categories(latest_papers(working_sets), specs))
     cells = papers.groupBy("set_name", "cats").agg(F.count("*").alias("n"))
     by_set = cells.groupBy("set_name").agg(F.collect_list(F.struct("cats", "n")).alias("cells")).join(specs, "set_name")
-    chances = by_set.select("set_name", "spec", "size", "cells").mapInPandas(_calibrate, "set_name string, cats array<int>, chance double, total long")
+    chances = spread(by_set.select("set_name", "spec", "size", "cells"), "set_name").mapInPandas(_calibrate, "set_name string, cats array<int>, chance double, total long")
     floors = specs.select("set_name", F.transform("spec", lambda s: s["floor"].cast("int")).alias("floors"))
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / block_rows)).cast("int")
     ready = salted_join(papers, chances.join(floors, "set_name"), ["set_name", "cats"], ["id"], salts=4)
