@@ -48,7 +48,8 @@ def token_count(text: Column | str, path: str = VOCABULARY) -> Column:
         for batch in batches:
             yield pd.Series([size(v) for v in batch], dtype="int64")
 
-    return count(F.col(text) if isinstance(text, str) else text)
+    # not deterministic for the planner: a filter on the count would else be pushed below the shuffle and count twice
+    return count.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def with_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
