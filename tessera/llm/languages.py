@@ -261,7 +261,8 @@ def _detect(prototypes: np.ndarray, fields: list[str], keys: list[str]) -> Calla
                         out[k].append(batch[k].iloc[row])
                     out["field"].append(field)
                     out["segments"].append([dict(zip(("start", "end", "lang", "confidence", "sentences"), s)) for s in segments_of(text, nearest)])
-            yield pd.DataFrame(out)
+            if out["field"]:
+                yield pd.DataFrame(out)
 
     return run
 

@@ -95,7 +95,7 @@ def _counted(raw: Counter[str]) -> pd.DataFrame:
         word = core(chunk)
         if _WORD.fullmatch(word):
             words[word] += n
-    return pd.DataFrame({"word": list(words), "n": list(words.values())}).astype({"n": "int64"})
+    return pd.DataFrame({"word": pd.Series(list(words), dtype=object), "n": pd.Series(list(words.values()), dtype="int64")})
 
 
 def word_counts(papers: DataFrame) -> DataFrame:
@@ -538,7 +538,8 @@ def _repair_rows(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], I
                     out["field"].append(field)
                     out["repaired"].append(repaired)
                     out["changes"].append([{"kind": k, "item": v} for k, v in changes])
-            yield pd.DataFrame(out)
+            if out["field"]:
+                yield pd.DataFrame(out)
 
     return run
 

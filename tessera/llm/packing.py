@@ -129,7 +129,7 @@ def best_fit(capacity: int):
             if room > size:
                 by_room[room - size].append(name)
                 mask |= 1 << (room - size)
-        return items[["doc_id", "part", "parts", "tokens"]].assign(container=placed)
+        return items[["doc_id", "part", "parts", "tokens"]].assign(container=np.array(placed, dtype=object))
 
     return run
 

@@ -172,6 +172,12 @@ def _seed(*parts: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.md5("\x1f".join(map(str, parts)).encode()).digest()[:8], "big"))
 
 
+def _rows(rows: pd.DataFrame, keep: np.ndarray, cats: list, **more: np.ndarray) -> pd.DataFrame:
+    """The kept rows; object columns, so that none kept has a type that fits too."""
+    kept = {"set_name": rows["set_name"].to_numpy(dtype=object)[keep], "id": rows["id"].to_numpy(dtype=object)[keep], "cats": pd.Series([list(c) for c, k in zip(cats, keep) if k], dtype=object)}
+    return pd.DataFrame(kept | more)
+
+
 DRAWN = "set_name string, id string, cats array<int>, state string, chance double"
 
 
@@ -200,7 +206,7 @@ def draw_block(seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
                     for k in useful:
                         left[k] -= 1
         keep = state != "out"
-        return pd.DataFrame({"set_name": rows["set_name"].to_numpy()[keep], "id": rows["id"].to_numpy()[keep], "cats": [list(c) for c, k in zip(cats, keep) if k], "state": state[keep], "chance": p[keep]})
+        return _rows(rows, keep, cats, state=state[keep], chance=p[keep])
 
     return run
 
@@ -242,7 +248,7 @@ def settle(seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
                 for j in cats[i]:
                     counts[j] -= 1
         keep = np.isin(state, ["swap", "new"])
-        return pd.DataFrame({"set_name": rows["set_name"].to_numpy()[keep], "id": rows["id"].to_numpy()[keep], "cats": [c for c, x in zip(cats, keep) if x]})
+        return _rows(rows, keep, cats)
 
     return run
 
