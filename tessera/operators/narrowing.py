@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import labels
@@ -41,15 +41,15 @@ def counts_by_dimension(scheme: DataFrame) -> DataFrame:
 def candidate_frequencies(suggestions: DataFrame) -> DataFrame:
     """(dimension, key, frequency, example_ids): suggestions by normalised value with the first ids in the log's order.
 
-    Each log row counts once, however often it was replayed; per-key examples come from a bounded minimum of each of
-    the key's partial groups, so a frequent key is not gathered in one place.
+    Each log row counts once, however often it was replayed. The examples of a key come from the first ones of each of
+    its slices, so a frequent key is not gathered in one place.
     """
     rows = suggestions.filter("suggestion_id is not null").groupBy("suggestion_id").agg(F.min(F.struct("dimension", "id", "new_suggestion")).alias("s")).select("suggestion_id", "s.*")
     keyed = rows.select("dimension", labels.norm(F.col("new_suggestion")).alias("key"), "id", "suggestion_id").filter("key <> ''")
     parts = keyed.withColumn("part", F.pmod(F.xxhash64("suggestion_id"), 32))
-    first = lambda entries: F.slice(F.array_sort(entries), 1, EXAMPLES)
-    inner = parts.groupBy("dimension", "key", "part").agg(F.count("*").alias("n"), first(F.collect_list(F.struct("suggestion_id", "id"))).alias("e"))
-    outer = inner.groupBy("dimension", "key").agg(F.sum("n").alias("frequency"), first(F.flatten(F.collect_list("e"))).alias("e"))
+    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("dimension", "key", "part").orderBy("suggestion_id")))
+    example = F.when(F.col("r") <= EXAMPLES, F.struct("suggestion_id", "id"))
+    outer = ranked.groupBy("dimension", "key").agg(F.count("*").alias("frequency"), F.slice(F.array_sort(F.collect_list(example)), 1, EXAMPLES).alias("e"))
     return outer.select("dimension", "key", "frequency", F.array_join(F.transform("e", lambda x: x["id"]), ";").alias("example_ids"))
 
 

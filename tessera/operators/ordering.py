@@ -39,5 +39,18 @@ def running(df: DataFrame, order: str, ties: Sequence[str], values: dict[str, Co
     return inside.withColumns(whole).drop("__b", *[f"__{n}" for n in values])
 
 
+def first_of_groups(df: DataFrame, group: str, order: Sequence[Column | str], quota: str, slices: int = 64) -> DataFrame:
+    """The first rows of each group in an order, as many as the group's ``quota`` column says.
+
+    Each of the group's slices keeps at most its quota before the group's rows meet, so a group that holds a third of
+    all rows is not sorted in one task; what meets is at most the quota times the slices.
+    """
+    sliced = df.withColumn("__s", F.pmod(F.xxhash64(*order), slices))
+    inner = Window.partitionBy(group, "__s").orderBy(*order)
+    few = sliced.withColumn("__r", F.row_number().over(inner)).filter(F.col("__r") <= F.col(quota))
+    whole = Window.partitionBy(group).orderBy(*order)
+    return few.withColumn("__r", F.row_number().over(whole)).filter(F.col("__r") <= F.col(quota)).drop("__s", "__r")
+
+
 def global_rank(df: DataFrame, order: str, ties: Sequence[str], name: str = "position") -> DataFrame:
     return running(df, order, ties, {name: F.lit(1)})

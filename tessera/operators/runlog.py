@@ -18,11 +18,18 @@ def parse_log(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def next_verdict(events: DataFrame, key: str, order: list[str], event: str, answers: list[str], verdicts: list[str]) -> DataFrame:
-    """Each answer row with the next verdict of the same key, null where none follows before the next answer."""
-    window = Window.partitionBy(key).orderBy(*order)
-    following = F.lead(event).over(window)
-    marked = events.filter(F.col(event).isin(*answers, *verdicts)).withColumn("verdict", F.when(following.isin(*verdicts), following))
-    return marked.filter(F.col(event).isin(*answers))
+    """Each answer row with the next verdict of the same key, null where none follows before the next answer.
+
+    Rows are ordered inside days of the key; a day's last row looks at the first one of the key's next day, so a key
+    that holds much of the log is not sorted in one task. The first order column is the time.
+    """
+    kept = events.filter(F.col(event).isin(*answers, *verdicts)).withColumn("__day", F.date_trunc("day", F.col(order[0]).cast("timestamp")))
+    inside = kept.withColumn("__next", F.lead(event).over(Window.partitionBy(key, "__day").orderBy(*order)))
+    opening = kept.groupBy(key, "__day").agg(F.min_by(event, F.struct(*order)).alias("__open"))
+    days = opening.withColumn("__open", F.lead("__open").over(Window.partitionBy(key).orderBy("__day")))
+    following = F.coalesce("__next", "__open")
+    marked = inside.join(days, [key, "__day"]).withColumn("verdict", F.when(following.isin(*verdicts), following))
+    return marked.filter(F.col(event).isin(*answers)).drop("__day", "__next", "__open")
 
 
 def replay_bucket(then: Column, now: Column) -> Column:

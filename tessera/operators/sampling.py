@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import global_rank, hash_key
+from tessera.operators.ordering import first_of_groups, global_rank, hash_key
+from tessera.runtime import bounded_broadcast
 
 
 def allocate(sizes: DataFrame, n: int, group: str = "volume", size: str = "size") -> DataFrame:
@@ -27,8 +28,8 @@ def stratified_sample(items: DataFrame, n: int, seed: int = 42, group: str = "vo
     """The first rows of each stratum in a seeded hash order, as many as are allocated to it."""
     sizes = items.groupBy(group).agg(F.count("*").alias("size"))
     keyed = items.withColumn("__k", hash_key(seed, group, item))
-    ranked = keyed.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy("__k", item)))
-    return ranked.join(allocate(sizes, n, group).select(group, "alloc"), group).filter("__r <= alloc").drop("__k", "__r", "alloc")
+    quotas = bounded_broadcast(allocate(sizes, n, group).select(group, "alloc"), 100_000)
+    return first_of_groups(keyed.join(quotas, group), group, ["__k", item], "alloc").drop("__k", "alloc")
 
 
 def folder_weighted_order(items: DataFrame, seed: int = 42, item: str = "id") -> DataFrame:
@@ -41,6 +42,5 @@ def gate_limit(items: DataFrame, limit: int, seed: int = 20260805, gate: str = "
     sizes = items.groupBy(gate).agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size").alias("total"))
     shares = sizes.join(F.broadcast(total)).select(gate, F.greatest(F.lit(1), F.bround(F.lit(limit) * F.col("size") / F.col("total"))).cast("int").alias("quota"))
-    ranked = items.withColumn("__r", F.row_number().over(Window.partitionBy(gate).orderBy(hash_key(seed, item), item)))
-    drawn = ranked.join(F.broadcast(shares), gate).filter("__r <= quota").drop("__r", "quota")
-    return drawn.orderBy(item).limit(limit)
+    keyed = items.withColumn("__k", hash_key(seed, item)).join(F.broadcast(shares), gate)
+    return first_of_groups(keyed, gate, ["__k", item], "quota").drop("__k", "quota").orderBy(item).limit(limit)
