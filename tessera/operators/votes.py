@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import labels
-from tessera.operators.decisions import GATE
+from tessera.operators.decisions import DIMENSIONS, GATE
+
+SINGLE = "research_position"
+MULTI = tuple(d for d in DIMENSIONS if d != SINGLE)
 
 
 def panel_votes(decisions: DataFrame, seats: DataFrame) -> DataFrame:
@@ -44,19 +49,39 @@ def panel_single(votes: DataFrame, dimension: str = "research_position") -> Data
 
 
 def panel_multi(votes: DataFrame, dimension: str) -> DataFrame:
-    """(id, categories, dissent): keys named by a strict majority of the cast sheets, in the lead's order, then by name.
+    """(id, categories, dissent) of one multi-valued dimension."""
+    return panel_multis(votes, [dimension]).drop("dimension")
+
+
+def panel_multis(votes: DataFrame, dimensions: Sequence[str] = MULTI) -> DataFrame:
+    """(id, dimension, categories, dissent): keys named by a strict majority of the cast sheets, in the lead's order, then by name.
 
     Where none has a majority but some are named, the lead's list stands.
     """
     sheets = votes.filter(~F.col("error"))
     needed = sheets.groupBy("id").agg((F.floor(F.countDistinct("seat") / 2) + 1).alias("needed"))
-    named = sheets.filter(F.col("dimension") == dimension).select("id", "seat", F.posexplode(labels.vote_list(F.col("value"))).alias("pos", "key"))
-    counts = named.groupBy("id", "key").agg(F.countDistinct("seat").alias("n"), F.min(F.when(F.col("seat") == 0, F.col("pos"))).alias("place"))
+    named = sheets.filter(F.col("dimension").isin(*dimensions)).select("id", "dimension", "seat", F.posexplode(labels.vote_list(F.col("value"))).alias("pos", "key"))
+    counts = named.groupBy("id", "dimension", "key").agg(F.countDistinct("seat").alias("n"), F.min(F.when(F.col("seat") == 0, F.col("pos"))).alias("place"))
     judged = counts.join(needed, "id")
     kept = F.array_sort(F.collect_list(F.when(F.col("n") >= F.col("needed"), F.struct(F.coalesce("place", F.lit(1 << 30)).alias("p"), "key"))))
     lead = F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct(F.col("place").alias("p"), "key"))))
-    merged = judged.groupBy("id").agg(kept.alias("kept"), lead.alias("lead"), F.count_if(F.col("n") < F.col("needed")).alias("below"))
+    merged = judged.groupBy("id", "dimension").agg(kept.alias("kept"), lead.alias("lead"), F.count_if(F.col("n") < F.col("needed")).alias("below"))
     none = F.size("kept") == 0
     chosen = F.transform(F.when(none, F.col("lead")).otherwise(F.col("kept")), lambda k: k["key"])
-    dissent = F.when(none, dimension + ":no_majority").when(F.col("below") > 0, dimension).otherwise("")
-    return merged.select("id", F.array_join(chosen, ";").alias("categories"), dissent.alias("dissent"))
+    dissent = F.when(none, F.concat("dimension", F.lit(":no_majority"))).when(F.col("below") > 0, F.col("dimension")).otherwise("")
+    return merged.select("id", "dimension", F.array_join(chosen, ";").alias("categories"), dissent.alias("dissent"))
+
+
+def vote_dissent(votes: DataFrame, seats: DataFrame) -> DataFrame:
+    """(id, dissent): every field the panel was split on, joined by ;: the gate, the dimensions in their order, who abstained."""
+    gate = panel_gate(votes).select("id", "cast", F.col("dissent").alias("gate"))
+    single = F.when(F.col("dissent"), F.lit(SINGLE)).otherwise("")
+    split = panel_single(votes, SINGLE).select("id", F.lit(SINGLE).alias("dimension"), single.alias("dissent")).unionByName(panel_multis(votes).select("id", "dimension", "dissent"))
+    place = F.array_position(F.array(*[F.lit(d) for d in DIMENSIONS]), F.col("dimension"))
+    fields = split.filter("dissent <> ''").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "dissent"))), lambda f: f["dissent"]).alias("fields"))
+    missed = votes.filter("error").select("id", "seat").distinct().join(F.broadcast(seats), "seat")
+    missed = missed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seat", "coder"))), lambda s: s["coder"]), "+").alias("out"))
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.array("gate"), F.coalesce("fields", none), F.when(F.col("out").isNotNull() & (F.col("cast") > 0), F.array(F.concat(F.lit("abstained:"), "out"))).otherwise(none))
+    joined = gate.join(fields, "id", "left").join(missed, "id", "left")
+    return joined.select("id", F.array_join(F.filter(parts, lambda p: p != ""), ";").alias("dissent"))

@@ -11,6 +11,7 @@ from tessera.functions import labels
 from tessera.operators import decisions as D
 from tessera.operators import icr, incremental, scoring, votes
 from tessera.plans import sql as S
+from tessera.runtime import cut
 from tessera.sources.tables import load
 
 MULTI = "software_type"
@@ -84,6 +85,18 @@ def dissent_stats(spark: SparkSession, folder: str) -> DataFrame:
     return both.agg(F.count("*").alias("papers"), F.count_if((F.col("g") != "") | (F.col("m") != "")).alias("any_split"), F.count_if(F.col("g").contains(D.GATE)).alias("gate_split"))
 
 
+def vote_dissent(spark: SparkSession, folder: str) -> DataFrame:
+    now = current(spark, folder)
+    seats = D.most_decided(now, 3)
+    return votes.vote_dissent(cut(votes.panel_votes(now, seats)), seats)
+
+
+def dissent_stats_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``dissent_stats``, whose SQL sees the gate and one dimension, over all fields and abstentions."""
+    split = F.col("dissent")
+    return vote_dissent(spark, folder).agg(F.count("*").alias("papers"), F.count_if(split != "").alias("any_split"), F.count_if(split.contains(D.GATE)).alias("gate_split"))
+
+
 def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gold gates, gold rows, predictions): the reference coder against every other coder as a model."""
     now = current(spark, folder)
@@ -171,7 +184,7 @@ def label_normalisers(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         positives_projection, decision_states, reference_coder, gate_tally, saved_decisions, incomplete_papers, rejected_minus_confirmed, confirmed_wide, fill_worklist, majority_gate,
-        majority_single, majority_multi, dissent_stats, gate_macro_f1, dimension_micro_f1, overall_score, coverage_panel, category_scores, worst_categories, paper_comparison,
+        majority_single, majority_multi, dissent_stats, vote_dissent, dissent_stats_whole, gate_macro_f1, dimension_micro_f1, overall_score, coverage_panel, category_scores, worst_categories, paper_comparison,
         model_metric_pivot, unanimous_failures, gate_crosstab, icr_alpha_kappa, gate_agreement, disagreement_worklist, key_differences, label_normalisers,
     )
 }
