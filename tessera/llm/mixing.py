@@ -23,21 +23,26 @@ def counted_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Dat
     return rows.filter("tokens > 0")
 
 
-def one_for_each_text(counted: DataFrame) -> DataFrame:
-    """The copy with the smallest id stands for all copies of a text, whatever their source."""
-    return counted.groupBy("text_key").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("d")).select("text_key", "d.*")
+def one_for_each_text(counted: DataFrame, uses: DataFrame) -> DataFrame:
+    """(mix_id, text_key, doc_id, source, tokens): in each mix, the copy with the smallest id among the mix's own sources stands for all copies of a text.
+
+    ``uses`` has (mix_id, source) of the sources that a mix draws from.
+    """
+    texts = counted.groupBy("text_key", "source").agg(F.min(F.struct("doc_id", "tokens")).alias("d"))
+    own = texts.join(bounded_broadcast(uses, 100_000), "source")
+    return own.groupBy("mix_id", "text_key").agg(F.min(F.struct("d.doc_id", "source", "d.tokens")).alias("d")).select("mix_id", "text_key", "d.*")
 
 
 def with_start(texts: DataFrame, seed: int, slices: int) -> DataFrame:
-    """Adds ``start``, the tokens of the source before the text in a random order; slices keep a large source distributed."""
+    """Adds ``start``, the tokens of the mix's source before the text in a random order; slices keep a large source distributed."""
     order = F.xxhash64("text_key", F.lit(seed))
     cut_up = texts.withColumn("order", order).withColumn("slice", F.pmod(F.shiftrightunsigned(order, 20), slices).cast("int"))
-    sums = cut_up.groupBy("source", "slice").agg(F.sum("tokens").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut_up.groupBy("mix_id", "source", "slice").agg(F.sum("tokens").alias("n"))
+    earlier = Window.partitionBy("mix_id", "source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    before = Window.partitionBy("source", "slice").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("mix_id", "source", "slice").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = cut_up.withColumn("inside", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    return inside.join(bounded_broadcast(offsets, 200_000), ["source", "slice"]).select("doc_id", "source", "tokens", (F.col("inside") + F.col("offset")).alias("start"))
+    return inside.join(bounded_broadcast(offsets, 200_000), ["mix_id", "source", "slice"]).select("mix_id", "doc_id", "source", "tokens", (F.col("inside") + F.col("offset")).alias("start"))
 
 
 def mix_sources(
@@ -47,21 +52,22 @@ def mix_sources(
 
     A source's schedule is share * (1 + r * (2 t - 1)) over time t in [0, 1]; r runs from ``-ramp`` for the source with
     the shortest texts of its mix to ``ramp`` for the longest, so short texts come earlier. A source that cannot fill its share is spread over the whole time. A text is used at most
-    ``max_repeats`` times in a mix, its copies included. ``short`` says that all documents of the source, repeated so
+    ``max_repeats`` times in a mix, its copies in the mix's sources included. ``short`` says that all documents of the source, repeated so
     often, have fewer tokens than its share. Null or negative repeats and weights count as 0.
     """
     counted = cut(counted_documents(documents, vocabulary))
     all_tokens = counted.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.avg("tokens").alias("mean_tokens"))
-    texts = one_for_each_text(counted)
-    distinct = texts.groupBy("source").agg(F.sum("tokens").alias("distinct_tokens"))
     wish = targets.filter("mix_id is not null and source is not null").select(
         "mix_id", "source", F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0)).alias("target_weight"),
         F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"), F.coalesce("budget_tokens", F.lit(0)).alias("budget_tokens"),
     )
+    uses = wish.filter("target_weight * budget_tokens > 0 and max_repeats > 0").select("mix_id", "source").distinct()
+    texts = cut(one_for_each_text(counted, uses))
+    distinct = texts.groupBy("mix_id", "source").agg(F.sum("tokens").alias("distinct_tokens"))
     by_length = Window.partitionBy("mix_id").orderBy("mean_tokens", "source")
     place = F.when(F.col("sources") > 1, (F.col("at") - 1) / (F.col("sources") - 1) * 2 - 1).otherwise(F.lit(0.0))
     plan = (
-        wish.join(all_tokens, "source", "left").join(distinct, "source", "left")
+        wish.join(all_tokens, "source", "left").join(distinct, ["mix_id", "source"], "left")
         .fillna(0, ["source_tokens", "distinct_tokens"]).fillna(0.0, ["mean_tokens"])
         .withColumn("at", F.row_number().over(by_length)).withColumn("sources", F.count("*").over(Window.partitionBy("mix_id")))
         .withColumn("ramp", place * ramp).withColumn("share_tokens", F.col("target_weight") * F.col("budget_tokens"))
@@ -71,7 +77,7 @@ def mix_sources(
     placed = with_start(texts, seed, slices or SLICES)
     rounds = F.least(F.col("max_repeats").cast("long"), F.ceil(F.try_divide(F.col("fill_tokens"), F.col("distinct_tokens"))))
     wanted = plan.withColumn("rounds", F.coalesce(rounds, F.lit(0))).filter("rounds > 0").select("mix_id", "source", "ramp", "fill_tokens", "distinct_tokens", "rounds")
-    drawn = placed.join(bounded_broadcast(wanted, 100_000), "source").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
+    drawn = placed.join(bounded_broadcast(wanted, 100_000), ["mix_id", "source"]).withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
     drawn = drawn.withColumn("reached", F.col("start") + F.col("repeat") * F.col("distinct_tokens")).filter("reached < fill_tokens")
     # demand up to t is the tokens to fill * (t + r (t t - t)); solved for t at the tokens that come before the document
     part = F.col("reached") / F.col("fill_tokens")
