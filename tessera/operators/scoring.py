@@ -101,3 +101,29 @@ def comparison_rows(pairs: DataFrame) -> DataFrame:
         "model", "id", "dimension", status.alias("status"), F.array_join(F.array_except("human", "answer"), ";").alias("missed"),
         F.array_join(F.array_except("answer", "human"), ";").alias("extra"), F.round(jaccard, 4).alias("jaccard"),
     )
+
+
+def gate_categories(pairs: DataFrame) -> DataFrame:
+    """(model, dimension, category, tp, fp, fn): the gate as two classes over the answered papers, for every model."""
+    human, answer = F.col("human"), F.col("answer")
+    classes = F.explode(F.array(F.struct(F.lit(1).alias("c"), F.lit("research_software").alias("category")), F.struct(F.lit(0).alias("c"), F.lit("not_research_software").alias("category"))))
+    each = pairs.select("model", "human", "answer", classes.alias("k")).select("model", "human", "answer", "k.*")
+    h, a = human == F.col("c"), answer == F.col("c")
+    return each.groupBy("model", F.lit(GATE).alias("dimension"), "category").agg(F.count_if(h & a).alias("tp"), F.count_if(~h & a).alias("fp"), F.count_if(h & ~a).alias("fn"))
+
+
+def whole_category_scores(categories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``category_scores`` with the gate's classes and how often each side used a category: adds support_human and support_model."""
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    gate = gate_categories(pairs).select(
+        "model", "dimension", "category", "tp", "fp", "fn", F.round(labels.ratio(tp, tp + fp), 4).alias("precision"), F.round(labels.ratio(tp, tp + fn), 4).alias("recall"),
+        F.round(labels.f1(tp, fp, fn), 4).alias("f1"), F.lit(True).alias("in_schema"),
+    )
+    return categories.unionByName(gate).withColumn("support_human", tp + fn).withColumn("support_model", tp + fp)
+
+
+def gate_comparison(pairs: DataFrame) -> DataFrame:
+    """(model, id, dimension, status, missed, extra, jaccard) of the gate, one row for each model and reference paper."""
+    status = F.when(F.col("answer").isNull(), "no_answer").when(F.col("human") == F.col("answer"), "agree").otherwise("disagree")
+    empty = F.lit("")
+    return pairs.select("model", "id", F.lit(GATE).alias("dimension"), status.alias("status"), empty.alias("missed"), empty.alias("extra"), F.lit(None).cast("double").alias("jaccard"))

@@ -138,6 +138,22 @@ def paper_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.comparison_rows(scoring.dimension_pairs(*_scored(spark, folder)))
 
 
+def category_scores_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``category_scores``, with the gate's two classes and both supports, which its SQL leaves out."""
+    gold, _, predicted = _scored(spark, folder)
+    return scoring.whole_category_scores(category_scores(spark, folder), scoring.gate_pairs(gold, predicted))
+
+
+def worst_categories_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.worst_categories(category_scores_whole(spark, folder)).select("model", "dimension", "category", "f1", "support_human", "support_model")
+
+
+def paper_comparison_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``paper_comparison``, with the gate's rows, which its SQL leaves out."""
+    gold, _, predicted = _scored(spark, folder)
+    return paper_comparison(spark, folder).unionByName(scoring.gate_comparison(scoring.gate_pairs(gold, predicted)))
+
+
 def model_metric_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return dimension_micro_f1(spark, folder).groupBy("model").pivot("dimension", list(D.DIMENSIONS)).agg(F.first("score"))
 
@@ -185,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         positives_projection, decision_states, reference_coder, gate_tally, saved_decisions, incomplete_papers, rejected_minus_confirmed, confirmed_wide, fill_worklist, majority_gate,
         majority_single, majority_multi, dissent_stats, vote_dissent, dissent_stats_whole, gate_macro_f1, dimension_micro_f1, overall_score, coverage_panel, category_scores, worst_categories, paper_comparison,
+        category_scores_whole, worst_categories_whole, paper_comparison_whole,
         model_metric_pivot, unanimous_failures, gate_crosstab, icr_alpha_kappa, gate_agreement, disagreement_worklist, key_differences, label_normalisers,
     )
 }

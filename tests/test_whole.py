@@ -1,10 +1,7 @@
 """What the queries whose SQL states less than the whole job leave out, on fixtures with known answers."""
 
-from pyspark.sql import functions as F
-
-from tessera.operators import votes
+from tessera.operators import scoring, votes
 from tessera.operators.decisions import GATE
-from tessera.plans.registry import QUERIES
 
 VOTES = "id string, seat int, dimension string, value string, error boolean"
 
@@ -30,3 +27,22 @@ def test_dissent_names_every_split_field(spark):
         "alike": "", "fields": "research_position;techstack;evaluation:no_majority", "out": "abstained:bob+cleo",
         "tie": GATE + ":tie;techstack:no_majority;abstained:cleo", "failed": "all_failed",
     }
+
+
+def test_gate_is_scored_as_two_classes(spark):
+    gold = frame(spark, [("p1", 1), ("p2", 1), ("p3", 0), ("p4", 1)], "id string, gate int")
+    human = frame(spark, [("p1", "techstack", "x;y")], "id string, dimension string, value string")
+    cells = [("m", "p1", GATE, "1"), ("m", "p1", "techstack", "x"), ("m", "p2", GATE, "0"), ("m", "p3", GATE, "1"), ("m", "p4", GATE, "?"), ("idle", "p9", GATE, "1")]
+    predicted = frame(spark, cells, "model string, id string, dimension string, value string")
+    pairs, dims = scoring.gate_pairs(gold, predicted), scoring.dimension_pairs(gold, human, predicted)
+    keys = frame(spark, [("techstack", "x")], "dimension string, category_key string")
+    whole = scoring.whole_category_scores(scoring.category_scores(dims, keys), pairs)
+    got = {(r["model"], r["category"]): tuple(r[c] for c in ("tp", "fp", "fn", "precision", "recall", "f1", "in_schema", "support_human", "support_model")) for r in whole.collect()}
+    assert got == {
+        ("m", "research_software"): (1, 1, 1, 0.5, 0.5, 0.5, True, 2, 2), ("m", "not_research_software"): (0, 1, 1, 0.0, 0.0, 0.0, True, 1, 1),
+        ("idle", "research_software"): (0, 0, 0, 0.0, 0.0, 0.0, True, 0, 0), ("idle", "not_research_software"): (0, 0, 0, 0.0, 0.0, 0.0, True, 0, 0),
+        ("m", "x"): (1, 0, 0, 1.0, 1.0, 1.0, True, 1, 1), ("m", "y"): (0, 0, 1, 0.0, 0.0, 0.0, False, 1, 0),
+    }
+    assert scoring.worst_categories(whole, 3).filter(f"dimension = '{GATE}'").count() == 3
+    got = {(r["model"], r["id"]): (r["status"], r["missed"], r["extra"], r["jaccard"]) for r in scoring.gate_comparison(pairs).collect()}
+    assert got == {("m", f"p{i}"): (s, "", "", None) for i, s in enumerate(("agree", "disagree", "disagree", "no_answer"), 1)} | {("idle", f"p{i}"): ("no_answer", "", "", None) for i in range(1, 5)}
