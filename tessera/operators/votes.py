@@ -15,10 +15,10 @@ MULTI = tuple(d for d in DIMENSIONS if d != SINGLE)
 
 
 def panel_votes(decisions: DataFrame, seats: DataFrame) -> DataFrame:
-    """(id, seat, dimension, value, error): the seats' answers; an answer sheet without a readable gate is an error."""
+    """(id, seat, dimension, value, certainty, error): the seats' answers; an answer sheet without a readable gate is an error."""
     own = decisions.join(F.broadcast(seats), "coder")
     readable = own.groupBy("id", "seat").agg(F.max(F.when(F.col("dimension") == GATE, labels.gate_value(F.col("value")).isNotNull())).alias("ok"))
-    return own.join(readable, ["id", "seat"]).select("id", "seat", "dimension", "value", (~F.coalesce("ok", F.lit(False))).alias("error"))
+    return own.join(readable, ["id", "seat"]).select("id", "seat", "dimension", "value", F.col("model_certainty").alias("certainty"), (~F.coalesce("ok", F.lit(False))).alias("error"))
 
 
 def panel_gate(votes: DataFrame) -> DataFrame:
@@ -85,3 +85,29 @@ def vote_dissent(votes: DataFrame, seats: DataFrame) -> DataFrame:
     parts = F.concat(F.array("gate"), F.coalesce("fields", none), F.when(F.col("out").isNotNull() & (F.col("cast") > 0), F.array(F.concat(F.lit("abstained:"), "out"))).otherwise(none))
     joined = gate.join(fields, "id", "left").join(missed, "id", "left")
     return joined.select("id", F.array_join(F.filter(parts, lambda p: p != ""), ";").alias("dissent"))
+
+
+def panel_labels(votes: DataFrame) -> DataFrame:
+    """(id, dimension, categories, dissent, seat, certainty): the merged value of the gate and of every dimension, with the sheet its prose is taken from.
+
+    ``votes`` has a certainty column. A dimension's prose comes from the first cast sheet whose list is the merged one,
+    else from the one that shares most keys with it; the gate's from the first that gave the merged gate, else from
+    the lead. Papers without a cast sheet have no labels.
+    """
+    cast = votes.filter(~F.col("error"))
+    single = panel_single(votes, SINGLE).select("id", F.lit(SINGLE).alias("dimension"), F.col("winner").alias("categories"), F.when(F.col("dissent"), F.lit(SINGLE)).otherwise("").alias("dissent"))
+    merged = panel_multis(votes).unionByName(single)
+    sheets = cast.select("id", "seat").distinct()
+    cells = sheets.withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])))
+    given = cells.join(cast.select("id", "seat", "dimension", "value", "certainty"), ["id", "seat", "dimension"], "left").join(merged, ["id", "dimension"], "left")
+    own, want = labels.vote_list(F.col("value")), labels.vote_list(F.col("categories"))
+    rank = F.struct((own != want).alias("differs"), (-F.size(F.array_intersect(own, want))).alias("shared"), "seat")
+    picked = given.groupBy("id", "dimension").agg(
+        F.coalesce(F.first("categories"), F.lit("")).alias("categories"), F.coalesce(F.first("dissent"), F.lit("")).alias("dissent"), F.min_by(F.struct("seat", "certainty"), rank).alias("s"),
+    )
+    gate = panel_gate(votes).filter("cast > 0").select("id", "gate", "dissent")
+    answers = votes.filter(F.col("dimension") == GATE).select("id", "seat", "certainty", "error", labels.gate_value(F.col("value")).alias("label")).join(gate, "id")
+    fits = ~F.col("error") & F.col("label").eqNullSafe(F.col("gate"))
+    sources = answers.filter(fits | (F.col("seat") == 0)).groupBy("id", "gate", "dissent").agg(F.min_by(F.struct("seat", "certainty"), F.struct((~fits).alias("other"), "seat")).alias("s"))
+    judged = gate.join(sources.select("id", "s"), "id", "left").select("id", F.lit(GATE).alias("dimension"), F.coalesce(F.col("gate").cast("string"), F.lit("")).alias("categories"), "dissent", "s")
+    return picked.unionByName(judged).select("id", "dimension", "categories", "dissent", "s.seat", "s.certainty")

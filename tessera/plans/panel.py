@@ -78,6 +78,16 @@ def majority_multi(spark: SparkSession, folder: str) -> DataFrame:
     return votes.panel_multi(panel(spark, folder), MULTI)
 
 
+def majority_multi_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``majority_multi``, whose SQL has one dimension, for all multi-valued ones."""
+    return votes.panel_multis(panel(spark, folder))
+
+
+def panel_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel's labels of every field, each with the seat and certainty of the sheet that stands for it."""
+    return votes.panel_labels(cut(panel(spark, folder)))
+
+
 def dissent_stats(spark: SparkSession, folder: str) -> DataFrame:
     gate = votes.panel_gate(panel(spark, folder)).select("id", F.col("dissent").alias("g"))
     multi = votes.panel_multi(panel(spark, folder), MULTI).select("id", F.col("dissent").alias("m"))
@@ -200,7 +210,7 @@ def label_normalisers(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         positives_projection, decision_states, reference_coder, gate_tally, saved_decisions, incomplete_papers, rejected_minus_confirmed, confirmed_wide, fill_worklist, majority_gate,
-        majority_single, majority_multi, dissent_stats, vote_dissent, dissent_stats_whole, gate_macro_f1, dimension_micro_f1, overall_score, coverage_panel, category_scores, worst_categories, paper_comparison,
+        majority_single, majority_multi, majority_multi_whole, panel_labels, dissent_stats, vote_dissent, dissent_stats_whole, gate_macro_f1, dimension_micro_f1, overall_score, coverage_panel, category_scores, worst_categories, paper_comparison,
         category_scores_whole, worst_categories_whole, paper_comparison_whole,
         model_metric_pivot, unanimous_failures, gate_crosstab, icr_alpha_kappa, gate_agreement, disagreement_worklist, key_differences, label_normalisers,
     )

@@ -46,3 +46,20 @@ def test_gate_is_scored_as_two_classes(spark):
     assert scoring.worst_categories(whole, 3).filter(f"dimension = '{GATE}'").count() == 3
     got = {(r["model"], r["id"]): (r["status"], r["missed"], r["extra"], r["jaccard"]) for r in scoring.gate_comparison(pairs).collect()}
     assert got == {("m", f"p{i}"): (s, "", "", None) for i, s in enumerate(("agree", "disagree", "disagree", "no_answer"), 1)} | {("idle", f"p{i}"): ("no_answer", "", "", None) for i in range(1, 5)}
+
+
+def test_all_multi_valued_dimensions_are_merged_and_take_their_prose_from_the_nearest_sheet(spark):
+    rows = sheet("a", 0, "0", techstack="x;y", evaluation="e", research_position="r") + sheet("a", 1, "1", techstack="y;z", evaluation="f", research_position="q") + sheet("a", 2, "1", techstack="y", software_lifecycle="l", research_position="q")
+    rows += sheet("out", 0, None, techstack="x") + sheet("out", 1, "1") + sheet("out", 2, "0", techstack="t") + sheet("failed", 0, None, techstack="x")
+    given = frame(spark, [(*r, r[1] / 10) for r in rows], VOTES + ", certainty double")
+    got = {(r["id"], r["dimension"]): (r["categories"], r["dissent"]) for r in votes.panel_multis(given).collect()}
+    assert got == {
+        ("a", "techstack"): ("y", "techstack"), ("a", "evaluation"): ("e", "evaluation:no_majority"), ("a", "software_lifecycle"): ("", "software_lifecycle:no_majority"),
+        ("out", "techstack"): ("", "techstack:no_majority"),
+    }
+    whole = votes.panel_labels(given).collect()
+    got = {(r["id"], r["dimension"]): (r["categories"], r["seat"], r["certainty"]) for r in whole}
+    assert len(whole) == len(got) == 12
+    assert got["a", "techstack"] == ("y", 2, 0.2) and got["a", "evaluation"] == ("e", 0, 0.0) and got["a", "research_position"] == ("q", 1, 0.1)
+    assert got["a", "software_lifecycle"] == ("", 0, None) and got["a", "software_type"] == ("", 0, None)
+    assert got["a", GATE] == ("1", 1, 0.1) and got["out", GATE] == ("", 0, 0.0) and got["out", "techstack"] == ("", 1, None)
