@@ -53,6 +53,36 @@ def candidate_frequencies(suggestions: DataFrame) -> DataFrame:
     return outer.select("dimension", "key", "frequency", F.array_join(F.transform("e", lambda x: x["id"]), ";").alias("example_ids"))
 
 
+def suggested_explanations(suggestions: DataFrame) -> DataFrame:
+    """(dimension, key, example_explanations): the first non-blank explanations of each suggestion in the log's order, taken slice by slice as the ids are."""
+    content = F.struct("dimension", "id", "new_suggestion", labels.is_blank(F.col("explanation")).alias("blank"), "explanation")
+    rows = suggestions.filter("suggestion_id is not null").groupBy("suggestion_id").agg(F.min(content).alias("s")).select("suggestion_id", "s.*").filter("not blank")
+    keyed = rows.select("dimension", labels.norm(F.col("new_suggestion")).alias("key"), labels.clean_cell(F.col("explanation")).alias("explanation"), "suggestion_id").filter("key <> ''")
+    parts = keyed.withColumn("part", F.pmod(F.xxhash64("suggestion_id"), 32))
+    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("dimension", "key", "part").orderBy("suggestion_id"))).filter(F.col("r") <= EXAMPLES)
+    outer = ranked.groupBy("dimension", "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("suggestion_id", "explanation"))), 1, EXAMPLES).alias("e"))
+    return outer.select("dimension", "key", F.array_join(F.transform("e", lambda x: x["explanation"]), " || ").alias("example_explanations"))
+
+
+def seed_frequencies(decisions: DataFrame, scheme: DataFrame) -> DataFrame:
+    """(dimension, key, seed_description, frequency): how often each active described category, deprecated ones too, was chosen as it is written."""
+    described = scheme.filter("section = 'active' and category_key is not null and coalesce(description, '') <> ''")
+    seeds = described.groupBy("dimension", F.col("category_key").alias("key")).agg(F.min("description").alias("seed_description"))
+    tokens = decisions.select("dimension", F.explode(F.split(labels.clean_cell(F.col("value")), ";")).alias("token")).select("dimension", labels.strip(F.col("token")).alias("key"))
+    chosen = tokens.groupBy("dimension", "key").agg(F.count("*").alias("frequency"))
+    return seeds.join(chosen, ["dimension", "key"], "left").fillna(0, ["frequency"])
+
+
+def candidate_table(suggestions: DataFrame, decisions: DataFrame, scheme: DataFrame) -> DataFrame:
+    """(dimension, key, source, frequency, seed_description, example_ids, example_explanations): seeds by choices and suggestions by occurrences."""
+    none = F.lit("")
+    seeds = seed_frequencies(decisions, scheme).select("dimension", "key", F.lit("seed").alias("source"), "frequency", "seed_description", none.alias("example_ids"), none.alias("example_explanations"))
+    found = candidate_frequencies(suggestions).join(suggested_explanations(suggestions), ["dimension", "key"], "left").select(
+        "dimension", "key", F.lit("suggested").alias("source"), "frequency", none.alias("seed_description"), "example_ids", F.coalesce("example_explanations", none).alias("example_explanations"),
+    )
+    return seeds.unionByName(found)
+
+
 def new_candidates(frequencies: DataFrame, scheme: DataFrame) -> DataFrame:
     return frequencies.join(F.broadcast(scheme_keys(scheme).select("dimension", "key").distinct()), ["dimension", "key"], "left_anti")
 

@@ -18,6 +18,11 @@ def candidate_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return narrowing.candidate_frequencies(load(spark, folder, "suggestions"))
 
 
+def candidate_frequencies_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``candidate_frequencies``, with the seeds and explanations that its SQL leaves out."""
+    return narrowing.candidate_table(load(spark, folder, "suggestions"), D.latest(load(spark, folder, "codings")), load(spark, folder, "schema_categories"))
+
+
 def new_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return narrowing.new_candidates(candidate_frequencies(spark, folder), load(spark, folder, "schema_categories")).select("dimension", "key", "frequency")
 
@@ -125,7 +130,7 @@ def clipped_explanations(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        candidate_frequencies, new_candidates, merge_candidates, suggested_by_dimension, papers_with_suggestions, certain_suggestions, coder_categories, sync_coder_categories, schema_integrity,
+        candidate_frequencies, candidate_frequencies_whole, new_candidates, merge_candidates, suggested_by_dimension, papers_with_suggestions, certain_suggestions, coder_categories, sync_coder_categories, schema_integrity,
         category_counts, selectable_categories, three_way_merge, archetype_rollup, target_growth, checkpoint_dedupe, last_label_wins, resume_anti_join, confirm_until_target, decision_replay,
         model_names, clipped_explanations,
     )

@@ -1,6 +1,6 @@
 """What the queries whose SQL states less than the whole job leave out, on fixtures with known answers."""
 
-from tessera.operators import scoring, votes
+from tessera.operators import narrowing, scoring, votes
 from tessera.operators.decisions import GATE
 
 VOTES = "id string, seat int, dimension string, value string, error boolean"
@@ -63,3 +63,16 @@ def test_all_multi_valued_dimensions_are_merged_and_take_their_prose_from_the_ne
     assert got["a", "techstack"] == ("y", 2, 0.2) and got["a", "evaluation"] == ("e", 0, 0.0) and got["a", "research_position"] == ("q", 1, 0.1)
     assert got["a", "software_lifecycle"] == ("", 0, None) and got["a", "software_type"] == ("", 0, None)
     assert got["a", GATE] == ("1", 1, 0.1) and got["out", GATE] == ("", 0, 0.0) and got["out", "techstack"] == ("", 1, None)
+
+
+def test_candidates_come_with_seeds_and_explanations(spark):
+    log = [(i, f"p{i}", "techstack", "New Key", None if i % 2 else f" why {i} ") for i in range(1, 15)] + [(2, "p2", "techstack", "New Key", None), (20, "q", "techstack", "bare", "nan"), (21, "q", "techstack", None, "lost")]
+    suggestions = frame(spark, log, "suggestion_id long, id string, dimension string, new_suggestion string, explanation string")
+    cells = [("techstack", " x; y;x "), ("techstack", "X"), ("techstack", "nan"), ("techstack", None), ("evaluation", "x"), ("research_position", "y")]
+    decisions = frame(spark, cells, "dimension string, value string")
+    scheme = frame(spark, [("techstack", "active", "x", "d", False), ("techstack", "active", "y", "e", None), ("evaluation", "active", "z", "f", True), ("techstack", "rejected", "w", "g", True)], "dimension string, section string, category_key string, description string, deprecated boolean")
+    got = {(r["dimension"], r["key"]): (r["source"], r["frequency"], r["seed_description"], r["example_ids"], r["example_explanations"]) for r in narrowing.candidate_table(suggestions, decisions, scheme).collect()}
+    assert got == {
+        ("techstack", "x"): ("seed", 2, "d", "", ""), ("techstack", "y"): ("seed", 1, "e", "", ""), ("evaluation", "z"): ("seed", 0, "f", "", ""),
+        ("techstack", "new_key"): ("suggested", 14, "", "p1;p2;p3;p4;p5", "why 2 || why 4 || why 6 || why 8 || why 10"), ("techstack", "bare"): ("suggested", 1, "", "q", ""),
+    }
