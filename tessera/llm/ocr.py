@@ -214,11 +214,23 @@ _SERIES = re.compile(confusion_key("lni") + r"[\dobsgzi]{2,7}" + "w[a-z]{6,16}")
 _VOLUME = re.compile(confusion_key("band") + r"[\dobsgzi]{1,7}.{8,60}?[\dobsgzi]{1,4}")
 
 
+_KEYED = re.compile(r"[\w|!@†$]")
+_FOLDED = {(confusion_key(seen[:1]), confusion_key(meant[:1])) for seen, meant in PAIRS}
+
+
+def first_letters(keys: set[str]) -> set[str]:
+    """Keys of the single letters that a text whose key starts with one of these may start with: also those that open a folded run."""
+    found = set(keys)
+    while more := {seen for seen, meant in _FOLDED if meant in found} - found:
+        found |= more
+    return found
+
+
 def furniture_lines(lines: list[str], title: str | None, authors: str | None) -> set[int]:
     """Numbers of the lines that are running headers, footers or page numbers."""
     found = set()
     title_key, author_key = header_key(title or ""), header_key(authors or "")
-    first = {title_key[:1], author_key[:1], confusion_key("l"), confusion_key("b")}
+    first = first_letters({title_key[:1], author_key[:1], confusion_key("l"), confusion_key("b")})
     seen: dict[str, list[int]] = {}
     for i, raw in enumerate(lines):
         line = " ".join(raw.split())
@@ -230,7 +242,8 @@ def furniture_lines(lines: list[str], title: str | None, authors: str | None) ->
         bare = without_number(line)
         cut_off = bare.endswith(("…", "..."))
         names = bare[1:2] == "." and bool(_INITIALS.fullmatch(bare))
-        if confusion_key(bare[:1].lower()) not in first and not (cut_off or names or bare.isupper()):
+        start = _KEYED.search(bare)
+        if (not start or confusion_key(start[0].lower()) not in first) and not (cut_off or names or bare.isupper()):
             continue
         key = header_key(bare)
         numbered = bare != line
