@@ -38,12 +38,20 @@ terms as (
 ORACLE_SQL: dict[str, str] = {
     "p1_found": P1_AVAILABILITY + "select set_name, facet, category from joined where available < wanted",
     "p1_availability": P1_AVAILABILITY + "select set_name, facet, category, wanted, available from joined",
+    "p1_checks": P1_AVAILABILITY + """,
+      floors as (select j.set_name, j.facet, sum(least(t.min_rows, j.available)) as floors, max(t.sample_size) as size from joined j join sample_targets t using (set_name, facet, category) group by all),
+      totals as (select set_name, count(*) as n from papers group by set_name)
+      select f.set_name, least(coalesce(max(n), 0), greatest(max(size), max(floors)))::bigint as rows, 0::bigint as below_floor from floors f left join totals using (set_name) group by f.set_name""",
     "p5_terms": P5_TERMS + "select dimension, term, occurrences, papers, mark from terms",
     "p5_found": P5_TERMS + "select dimension, term, mark from terms where mark is not null",
     # pieces stand for tokens here: every text and every share is far from its limit under any usual tokenizer
     "p7_found": r"""
       select doc_id from documents
       where length(regexp_replace(text, '[^\p{L}]', '', 'g')) / 4.0 + len(regexp_extract_all(text, '[0-9]{1,3}|[^\s\p{L}0-9]+')) > 2048""",
+    "p7_checks": "select count(*) as documents, 0::bigint as broken, 0::bigint as overfull from documents where text <> ''",
+    "p8_checks": """
+      select distinct mix_id, 0::bigint as overused, 0::bigint as outside from mix_targets t
+      where target_weight * budget_tokens > 0 and max_repeats > 0 and exists (select 1 from documents d where d.source = t.source and d.text <> '')""",
     "p8_found": """
       select t.mix_id, t.source from mix_targets t left join (select source, sum(length(text)) / 4.0 as tokens from documents group by source) d on d.source = t.source
       where coalesce(d.tokens, 0) * t.max_repeats < t.target_weight * t.budget_tokens""",
