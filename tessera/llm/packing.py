@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import VOCABULARY, token_count
-from tessera.runtime import cut, widen
+from tessera.runtime import bounded_broadcast, cut, widen
 
 CAPACITY = 2048
 LARGE = 0.125
@@ -43,7 +43,11 @@ def group_sizes(lengths: np.ndarray, counts: np.ndarray, groups: int) -> tuple[i
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """Column generation for the cutting-stock problem of few sizes: (items of each size, containers), demand covered."""
+    """Column generation for the cutting-stock problem of few sizes: (items of each size, containers), demand covered.
+
+    After ``rounds`` columns the plan found so far is taken; it covers the demand, but may take more containers than the
+    best one. ``fill_report`` sets the containers against the fewest there could be.
+    """
     n = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.linalg.inv(basis)
@@ -135,7 +139,7 @@ def best_fit(capacity: int):
 
 
 def pack(
-    documents: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS, block_items: int = BLOCK_ITEMS, vocabulary: str = VOCABULARY
+    documents: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS, block_items: int = BLOCK_ITEMS, vocabulary: str = VOCABULARY, rank_slice: int = RANK_SLICE
 ) -> DataFrame:
     """(container, doc_id, part, parts, tokens) of every piece of every document that has tokens.
 
@@ -149,32 +153,36 @@ def pack(
     small = sum(r["count"] for r in histogram if r["tokens"] <= capacity * large)
     out = ["doc_id", "part", "parts", "tokens", "container"]
     full = pieces.filter(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("f"), "doc_id", "part")).select(*out)
-    placed = None
+    placed, opened = None, 0
     if big:
         lengths, counts = np.array([t for t, _ in big]), np.array([c for _, c in big])
         each, sizes, demand = group_sizes(lengths, counts, min(groups, int(counts.sum())))
         merged, owner = np.unique(-sizes, return_inverse=True)
         needs = np.bincount(owner, weights=demand).astype(int)
-        slots = spark.createDataFrame(slot_table(configurations(-merged, needs, capacity)), "size_no int, first long, last long, start long, in_each int")
+        plan = configurations(-merged, needs, capacity)
+        opened = sum(times for _, times in plan)
+        slots = spark.createDataFrame(slot_table(plan), "size_no int, first long, last long, start long, in_each int")
         # groups that round up to the same size share its slots: a group's first slot follows those of the groups before
         before = [int(demand[:g][owner[:g] == owner[g]].sum()) for g in range(len(sizes))]
         group_rows = spark.createDataFrame([(g, int(owner[g]), before[g]) for g in range(len(sizes))], "group_no long, size_no int, before long")
-        slices = max(4, int(counts.max()) // RANK_SLICE + 1)
-        sliced = pieces.filter((F.col("tokens") > capacity * large) & (F.col("tokens") < capacity)).withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), slices).cast("int"))
-        ends = Window.orderBy(F.desc("tokens"), "slice").rowsBetween(Window.unboundedPreceding, -1)
-        # lengths times slices is bounded by capacity and the slices' number, so one ordered window over it is small
-        offsets = sliced.groupBy("tokens", "slice").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(ends), F.lit(0))).drop("n")
+        # a row for each length: the pieces of greater lengths, and the slices that keep a frequent length distributed
+        longer = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        by_length = spark.createDataFrame([(int(t), int(b), int(c) // rank_slice + 1) for t, b, c in zip(lengths, longer, counts)], "tokens int, longer long, slices long")
+        sliced = pieces.join(bounded_broadcast(by_length, capacity), "tokens").withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), "slices").cast("int"))
+        earlier = Window.partitionBy("tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sliced.groupBy("tokens", "slice").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
         within = Window.partitionBy("tokens", "slice").orderBy("doc_id", "part")
-        ranked = sliced.withColumn("row", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["tokens", "slice"])
-        ranked = ranked.withColumn("rank", F.col("row") + F.col("offset")).withColumn("group_no", F.expr(f"rank div {each}"))
-        slotted = ranked.join(F.broadcast(group_rows), "group_no").withColumn("slot", F.col("rank") - F.col("group_no") * each + F.col("before"))
-        found = slotted.join(F.broadcast(slots), (slotted.size_no == slots.size_no) & (slotted.slot >= slots["first"]) & (slotted.slot < slots["last"])).drop(slots.size_no)
+        ranked = sliced.withColumn("row", F.row_number().over(within) - 1).join(bounded_broadcast(offsets, 200_000), ["tokens", "slice"])
+        ranked = ranked.withColumn("rank", F.col("row") + F.col("offset") + F.col("longer")).withColumn("group_no", F.expr(f"rank div {each}"))
+        slotted = ranked.join(bounded_broadcast(group_rows), "group_no").withColumn("slot", F.col("rank") - F.col("group_no") * each + F.col("before"))
+        slots = bounded_broadcast(slots)
+        found = slotted.join(slots, (slotted.size_no == slots.size_no) & (slotted.slot >= slots["first"]) & (slotted.slot < slots["last"])).drop(slots.size_no)
         number = F.col("start") + F.expr("(slot - first) div in_each")
         placed = found.withColumn("container", F.concat(F.lit("g"), number)).select(*out)
     if not small:
         parts = [p for p in (full, placed) if p is not None]
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    blocks = small // block_items + 1
+    blocks = max(small, opened) // block_items + 1
     items = pieces.filter(F.col("tokens") <= capacity * large).withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), blocks).cast("int"))
     if placed is None:
         bins = spark.createDataFrame([], "container string, room int, block int")

@@ -89,7 +89,9 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_containers(spark, folder).filter("parts > 1").select("doc_id").distinct()
+    """Documents that lie in several containers."""
+    split = p7_containers(spark, folder).filter("parts > 1").groupBy("doc_id").agg(F.count_distinct("container").alias("containers"))
+    return split.filter("containers > 1").select("doc_id")
 
 
 def p7_checks(spark: SparkSession, folder: str) -> DataFrame:

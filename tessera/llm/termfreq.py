@@ -4,6 +4,9 @@ Radix spilling: occurrence records are written to the shared folder in partition
 hash; a partition with too many rows is read again and split by the next bits, and where the term's bits no longer split
 it (one term holds most of it) by bits of the counted key, whose sets are disjoint, so that partial counts add up. Each
 leaf is aggregated out of core by DuckDB in one task. A last grouped sum joins the parts of a term that was split.
+
+DuckDB spills into the shared folder where executors see it as a directory. Where it is an object store it cannot; then
+the size of the leaves bounds its memory, and only a leaf of one key repeated more often than a leaf may hold is larger.
 """
 
 from __future__ import annotations
@@ -19,10 +22,13 @@ from tessera.runtime import cut, remove_path, scratch_path
 #: Words that stand for no value.
 NULL_WORDS = ("", "nan", "none", "null")
 
+#: Bits of a split of an oversized partition; the first split has as many as the number of rows asks for, up to FIRST_BITS.
 RADIX_BITS = 4
+FIRST_BITS = 12
 LEAF_ROWS = 1_000_000
-MAX_DEPTH = 6
-TERM_LEVELS = 3
+#: Bits of a term's hash that are used up before those of the counted key's, and all that are used.
+TERM_BITS, KEY_BITS = 20, 32
+SALTS = 8
 DUCKDB_MEMORY = "400MB"
 
 
@@ -52,11 +58,10 @@ def occurrence_records(suggestions: DataFrame, candidates: DataFrame) -> DataFra
     return both.select("dimension", "term", F.inline(F.filter(kinds, lambda k: k["key"].isNotNull())))
 
 
-def _radix(level: int, bits: int) -> Column:
-    """Bits of the term's hash for the first levels, of the counted key's hash afterwards."""
-    if level < TERM_LEVELS:
-        return F.shiftrightunsigned(F.xxhash64("dimension", "term"), 64 - bits * (level + 1)).bitwiseAND((1 << bits) - 1).cast("int")
-    return F.shiftrightunsigned(F.xxhash64("kind", "key"), 64 - bits * (level + 1 - TERM_LEVELS)).bitwiseAND((1 << bits) - 1).cast("int")
+def _radix(term_bits: int, key_bits: int, bits: int) -> Column:
+    """The next bits of the term's hash or, when those are used up, of the counted key's."""
+    hashed, used = (F.xxhash64("dimension", "term"), term_bits) if term_bits < TERM_BITS else (F.xxhash64("kind", "key"), key_bits)
+    return F.shiftrightunsigned(hashed, 64 - used - bits).bitwiseAND((1 << bits) - 1).cast("int")
 
 
 def _leaf_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,7 +73,7 @@ def _leaf_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow.fs import FileSystem
 
     for batch in batches:
-        for uri, spill in zip(batch["path"], batch["spill"]):
+        for uri, spill in ((u, s) for uris, s in zip(batch["paths"], batch["spill"]) for u in uris):
             system, path = FileSystem.from_uri(uri)
             rows = ds.dataset(path, filesystem=system, format="parquet")
             base = spill.removeprefix("file://")
@@ -88,33 +93,65 @@ def _leaf_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shutil.rmtree(folder, ignore_errors=True)
 
 
-def radix_counts(records: DataFrame, bits: int = RADIX_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def first_bits(rows: int, leaf_rows: int, bits: int) -> int:
+    """Bits of the first split: so many that leaves of evenly spread terms hold half of what they may."""
+    return min(FIRST_BITS, max(bits, (2 * rows // leaf_rows).bit_length()))
+
+
+def _tasks(leaves: list[tuple[str, int]], leaf_rows: int, least: int) -> list[list[str]]:
+    """Leaves grouped into tasks: small ones share a task up to the rows of a leaf, but at least so many tasks are used."""
+    room = min(leaf_rows, max(1, -(-sum(n for _, n in leaves) // least)))
+    tasks: list[list[str]] = []
+    held = 0
+    for path, rows in sorted(leaves, key=lambda x: -x[1]):
+        if not tasks or held + rows > room:
+            tasks.append([])
+            held = 0
+        tasks[-1].append(path)
+        held += rows
+    return tasks
+
+
+def radix_counts(records: DataFrame, rows: int, bits: int = RADIX_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(dimension, term, kind, n) with n the summed weight over distinct keys, by recursive radix spilling.
 
-    An empty input gives an empty result. Repeated records count once; of differing weights for a key the largest holds.
-    The spill is removed before the call returns.
+    ``rows`` is about the number of records, from which the first split is chosen. An empty input gives an empty result.
+    Repeated records count once; of differing weights for a key the largest holds. The spill is removed before the call
+    returns.
     """
     spark = records.sparkSession
     root = scratch_path(spark, "radix")
     try:
-        leaves: list[str] = []
-        pending: list[str] = [""]
-        for level in range(MAX_DEPTH):
-            source = records if not level else spark.read.parquet(*pending).withColumn("parent", F.regexp_extract(F.input_file_name(), r"radix-[^?#]*/(l\d.*)/[^/]*$", 1))
+        leaves: list[tuple[str, int]] = []
+        pending: list[str] = []
+        term_bits = key_bits = level = 0
+        while not level or pending:
+            if not level:
+                source, parent, now = records, [], first_bits(rows, leaf_rows, bits)
+            else:
+                source, parent, now = spark.read.parquet(*pending).withColumn("parent", F.regexp_extract(F.input_file_name(), r"radix-[^?#]*/(l\d.*)/[^/]*$", 1)), ["parent"], bits
             out = f"{root}/l{level}"
-            parent = [] if not level else ["parent"]
-            keyed = source.withColumn("radix", _radix(level, bits)).withColumn("leaf", F.concat_ws("-", *[F.translate(p, "/=", "__") for p in parent], F.col("radix")))
-            keyed.drop("radix", *parent).write.partitionBy("leaf").parquet(out)
+            keyed = source.withColumn("leaf", F.concat_ws("-", *[F.translate(p, "/=", "__") for p in parent], _radix(term_bits, key_bits, now)))
+            # a leaf is written by few tasks, a hot one by SALTS of them, so that files don't multiply with tasks and leaves
+            gathered = keyed.drop(*parent).withColumn("salt", F.pmod(F.xxhash64("key"), SALTS))
+            gathered.repartition("leaf", "salt").drop("salt").write.partitionBy("leaf").parquet(out)
+            if term_bits < TERM_BITS:
+                term_bits += now
+            else:
+                key_bits += now
             sizes = spark.read.parquet(out).groupBy("leaf").count().collect() if _any_leaf(spark, out) else []
             pending = []
             for row in sizes:
                 path = f"{out}/leaf={row['leaf']}"
-                (pending if row["count"] > leaf_rows and level + 1 < MAX_DEPTH else leaves).append(path)
-            if not pending:
-                break
+                if row["count"] > leaf_rows and key_bits + bits <= KEY_BITS:
+                    pending.append(path)
+                else:
+                    leaves.append((path, row["count"]))
+            level += 1
         if not leaves:
             return spark.createDataFrame([], "dimension string, term string, kind string, n long")
-        plan = spark.createDataFrame([(p, root) for p in leaves], "path string, spill string").repartition(len(leaves), "path")
+        tasks = _tasks(leaves, leaf_rows, 2 * spark.sparkContext.defaultParallelism)
+        plan = spark.createDataFrame(spark.sparkContext.parallelize([(t, root) for t in tasks], len(tasks)), "paths array<string>, spill string")
         parts = plan.mapInPandas(_leaf_counts, "dimension string, term string, kind string, n long")
         return cut(parts.groupBy("dimension", "term", "kind").agg(F.sum("n").alias("n")))
     finally:
@@ -136,7 +173,7 @@ def count_terms(
     Rows without dimension or term are not counted; a null id counts as no paper; other columns are ignored.
     """
     records = occurrence_records(suggestions, candidates)
-    counts = radix_counts(records, bits, leaf_rows)
+    counts = radix_counts(records, 2 * suggestions.count() + candidates.count(), bits, leaf_rows)
     terms = counts.groupBy("dimension", "term").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "o", F.col("n"))), F.lit(0)).alias("occurrences"),
         F.coalesce(F.sum(F.when(F.col("kind") == "p", F.col("n"))), F.lit(0)).alias("papers"),

@@ -106,6 +106,13 @@ def test_term_counts_when_partitions_split(spark, leaf):
     assert got == counted_by_hand(suggestions, candidates)
 
 
+def test_one_term_replayed_beyond_every_split(spark):
+    s = frame(spark, [("d", 1, "p", "hot")] * 300 + [("d", i, f"p{i}", "hot") for i in range(200)], "dimension string, suggestion_id long, id string, new_suggestion string")
+    c = frame(spark, [], "dimension string, candidate_id long, candidate_key string, frequency int")
+    row = termfreq.count_terms(s, c, bits=2, leaf_rows=20).first()
+    assert (row["occurrences"], row["papers"]) == (200, 201)
+
+
 def test_no_terms(spark):
     s = frame(spark, [], "dimension string, suggestion_id long, id string, new_suggestion string")
     assert termfreq.count_terms(s, frame(spark, [], "dimension string, candidate_id long, candidate_key string, frequency int")).count() == 0
@@ -132,6 +139,32 @@ def test_consensus_beats_the_majority(spark):
     assert all(r["votes"] == 5 for p, r in got.items())
 
 
+def test_many_coders(spark):
+    """Two thousand coders, of whom each met few others; one coder labelled every paper."""
+    draw = random.Random(3)
+    right = {f"c{i}": draw.choice([0.95, 0.9, 0.85, 0.6]) for i in range(2000)} | {"all": 0.9}
+    groups = [[f"c{g * 20 + i}" for i in range(20)] for g in range(100)]
+    truth, rows = {f"p{i}": draw.choice(["formaler_nachweis", "feldversuch", "langzeitbeobachtung"]) for i in range(1500)}, []
+    for i, (paper, label) in enumerate(truth.items()):
+        for coder in draw.sample(groups[i % 100], 8) + ["all"]:
+            said = label if draw.random() < right[coder] else draw.choice(["formaler_nachweis", "feldversuch", "langzeitbeobachtung"])
+            rows.append((len(rows), paper, coder, consensus.POSITION, f"{said};{said}" if draw.random() < 0.2 else said, None, 0))
+    entries = [(consensus.POSITION, *e[1:]) for e in ENTRIES]
+    labels, coders = consensus.consensus(frame(spark, rows, CODINGS), frame(spark, entries, SCHEME))
+    got = {r["id"]: r for r in labels.collect()}
+    assert sum(got[p]["final_category"] == t for p, t in truth.items()) > 0.97 * len(truth) and all(r["votes"] == 9 for r in got.values())
+    assert coders.count() == len({r[2] for r in rows})
+
+
+def test_cells_with_several_labels_are_split_votes(spark):
+    entries = [(consensus.POSITION, *e[1:]) for e in ENTRIES]
+    rows = [(1, "p", "a", "feldversuch;langzeitbeobachtung"), (2, "p", "b", "Feldversuch"), (3, "p", "c", "langzeitbeobachtung;???"), (4, "p", "d", "Feldversuch, feldversuch"), (5, "q", "a", "???")]
+    coded = frame(spark, [(n, p, c, consensus.POSITION, v, None, 0) for n, p, c, v in rows], CODINGS)
+    got = {r["id"]: r for r in consensus.consensus(coded, frame(spark, entries, SCHEME))[0].collect()}
+    assert got["p"]["final_category"] == "feldversuch" and got["p"]["votes"] == 4 and abs(got["p"]["agreement"] - 2.5 / 6) < 1e-9
+    assert got["q"]["final_category"] is None and got["q"]["votes"] == 1
+
+
 def test_no_codings(spark):
     labels, coders = consensus.consensus(frame(spark, [], CODINGS), frame(spark, ENTRIES, SCHEME))
     assert labels.count() == 0 and coders.count() == 0
@@ -164,6 +197,16 @@ def test_packing_is_whole_and_tight(spark):
     assert sum(sizes) / (256 * len(loads)) > 0.97
 
 
+def test_packing_with_few_small_pieces_and_sliced_lengths(spark):
+    sizes = [40] * 700 + [90] * 500 + [3] * 4
+    packed = packing.pack(documents(spark, sizes), capacity=128, block_items=50, rank_slice=60).collect()
+    loads = Counter()
+    for r in packed:
+        loads[r["container"]] += r["tokens"]
+    assert len(packed) == len(sizes) and max(loads.values()) <= 128
+    assert len(loads) <= 1.05 * (500 + 700 / 3)
+
+
 def test_mixes(spark):
     rows = [(i, f"word {i} " + "more " * (i % 7), "big") for i in range(300)] + [(1000 + i, f"small text {i}", "small") for i in range(10)] + [(2000, "small text 0", "big"), (2001, None, "big"), (2002, "", "small"), (2003, "x", None)]
     targets = frame(spark, [(1, "big", 0.8, 2, 1500), (1, "small", 0.2, 3, 1500), (2, "none", 0.5, 2, 100), (2, "big", 0.5, 1, 100), (3, "big", None, None, None)], "mix_id long, source string, target_weight double, max_repeats int, budget_tokens long")
