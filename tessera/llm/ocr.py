@@ -4,23 +4,28 @@ Word counts of all papers give a lexicon. A text is de-lined (page furniture is
 jointly: a lattice over them allows keeping, correcting, merging (over blanks, line ends and hyphens) and splitting, and
 the cheapest path under the lexicon's word probabilities is taken. Confusions are looked up by a key under which
 characters that scanners take for each other are the same. Paragraph boundaries are then chosen by dynamic programming.
+
+The most frequent words are broadcast, up to a bound. Where there are more, a first pass over the texts writes down which
+other words and keys each text asks for, these are joined with the rest of the lexicon, and every text is decoded with
+its own answers; so each word of the corpus counts, however rare, and the result is that of one large lexicon.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import widen
+from tessera.runtime import cut, widen
 
 FIELDS = ("text", "abstract", "references_text")
-LEXICON_WORDS = 150_000
+#: Words of the lexicon that are broadcast; all others are joined.
+LEXICON_WORDS = 500_000
 #: A word is taken for a misread one only if the right word is this many times as frequent.
 TIMES_AS_FREQUENT = 12
 
@@ -53,9 +58,12 @@ def confusion_key(word: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> str:
 
 
 def confusion_keys(seen: str) -> list[str]:
-    """Keys under which the right word may stand: runs that can be undone in two orders, and a 6 for b or for a marked vowel."""
+    """Keys under which the right word may stand: runs that can be undone in two orders, and a 6 for b or for a marked vowel.
+
+    What has more than four of them is a number, no word.
+    """
     forms = [seen]
-    for _ in range(min(seen.count("6"), 2)):
+    for _ in range(seen.count("6") if seen.count("6") <= 4 else 0):
         forms = [f.replace("6", letter, 1) for f in forms for letter in SIX]
     return list(dict.fromkeys(confusion_key(f, pairs) for f in forms for pairs in (ORDERS if "ri" in seen or "cl" in seen else (PAIRS,))))
 
@@ -104,20 +112,49 @@ def word_counts(papers: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Asked(dict):
+    """A table that writes down which keys it was asked for and did not hold."""
+
+    def __init__(self, held: dict):
+        super().__init__(held)
+        self.missing: set[str] = set()
+
+    def get(self, key, default=None):
+        if key in self:
+            return self[key]
+        self.missing.add(key)
+        return default
+
+
 class Lexicon:
-    """Word counts, and the words behind each confusion key in falling order of count."""
+    """Word counts, and the two most frequent words behind each confusion key (one of which may be the word looked up)."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None, by_key: dict[str, list[str]] | None = None):
         self.counts = counts
-        self.total = max(sum(counts.values()), 1)
+        self.total = max(sum(counts.values()) if total is None else total, 1)
         self.log_total = math.log(self.total)
-        self.by_key: dict[str, list[str]] = {}
-        for word in sorted(counts, key=lambda w: (-counts[w], w)):
-            for key in {confusion_key(word, pairs) for pairs in ORDERS}:
-                self.by_key.setdefault(key, []).append(word)
+        if by_key is None:
+            by_key = {}
+            for word in sorted(counts, key=lambda w: (-counts[w], w)):
+                for key in {confusion_key(word, pairs) for pairs in ORDERS}:
+                    own = by_key.setdefault(key, [])
+                    if len(own) < 2:
+                        own.append(word)
+        self.by_key = by_key
+        self.often, self.some = self.total * SPLIT_OFTEN, max(2.0, self.total * SPLIT_SOME)
         self.memory: dict[str, tuple[str, float]] = {}
         self.chunks: dict[str, tuple[str, bool]] = {}
 
+    def recording(self) -> tuple[Lexicon, Asked, Asked]:
+        """The same lexicon with tables that write down what they lack; a key with one word only lacks a second."""
+        counts, keys = Asked(self.counts), Asked({k: v for k, v in self.by_key.items() if len(v) > 1})
+        return Lexicon(counts, self.total, keys), counts, keys
+
+    def with_rest(self, counts: dict[str, int], by_key: dict[str, list[str]]) -> Lexicon:
+        """This lexicon and some of the words it lacks, all less frequent than its own."""
+        keys = ChainMap({k: [*self.by_key.get(k, ()), *v][:2] for k, v in by_key.items()}, self.by_key)
+        return Lexicon(ChainMap(counts, self.counts), self.total, keys)
+
     def cost(self, word: str) -> float:
         n = self.counts.get(word, 0)
         if n:
@@ -147,7 +184,6 @@ class Lexicon:
         self.memory[seen] = best, cost
         return best, cost
 
-
     def look_up(self, chunk: str) -> tuple[str, bool]:
         """The chunk's core, and whether it can be settled alone: a known word that is no misreading, or no word at all."""
         found = self.chunks.get(chunk)
@@ -161,19 +197,18 @@ class Lexicon:
 
     def right_word(self, seen: str, own: int, odd: bool) -> str | None:
         """The most frequent word with a key of the string's, if it is so much more frequent that the string is a misreading."""
-        found = [word for key in confusion_keys(seen) for word in self.by_key.get(key, ())[:2] if word != seen]
+        found = [word for key in confusion_keys(seen) for word in self.by_key.get(key, ()) if word != seen]
         if not found:
             return None
-        word = max(found, key=lambda w: (self.counts[w], w))
+        word = min(found, key=lambda w: (-self.counts[w], w))
         n = self.counts[word]
         if n < 2 or (own and n < TIMES_AS_FREQUENT * own) or (len(seen) < 4 and not odd and n < 50 * TIMES_AS_FREQUENT * max(own, 1)):
             return None
         return word
 
 
-def fit_lexicon(papers: DataFrame, words: int = LEXICON_WORDS) -> dict[str, int]:
-    """The most frequent words with their counts over all papers; words seen once only are left out in large corpora."""
-    counts = word_counts(papers)
+def fit_lexicon(counts: DataFrame, words: int = LEXICON_WORDS) -> dict[str, int]:
+    """The most frequent words with their counts; equal counts in the order of the words."""
     return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()}
 
 
@@ -226,19 +261,53 @@ def first_letters(keys: set[str]) -> set[str]:
     return found
 
 
+_DIGITS = bytes.maketrans(b"0123456789", b"#" * 10)
+#: Times a line must stand in a text, digits aside, to be a running header that no title explains.
+REPEATS = 3
+
+
+def repeated_lines(lines: list[str]) -> set[int]:
+    """Lines that stand in the text several times but for digits and misread characters, mostly inside a sentence, alone between blank lines or beside a page number."""
+    seen = Counter(line.encode("utf-8", "replace").translate(_DIGITS) for line in lines)
+    often = {k for raw, n in seen.items() if n >= REPEATS and (k := raw.decode()) and sum(map(str.isalpha, k)) >= 5 and k.rstrip()[-1:] not in ".,;:" + HYPHENS and not _HEADING.match(k.replace("#", "1"))}
+    if not often:
+        return set()
+    keys = {header_key(k.replace("#", "")) for k in often}
+    found: dict[str, list[int]] = {}
+    for i, line in enumerate(lines):
+        if line and (key := header_key(re.sub(r"\d", "", line))) in keys:
+            found.setdefault(key, []).append(i)
+    kept = set()
+    for at in found.values():
+        def between(i: int) -> bool:
+            before, after = lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else ""
+            alone = not before and not after or is_page_number(before) or is_page_number(after)
+            return not lines[i][0].islower() and (alone or bool(before) and not _END.search(before) and after[:1].islower())
+        if sum(map(between, at)) * 2 > len(at):
+            kept.update(at)
+    return kept
+
+
 def furniture_lines(lines: list[str], title: str | None, authors: str | None) -> set[int]:
     """Numbers of the lines that are running headers, footers or page numbers."""
-    found = set()
+    lines = [" ".join(raw.split()) for raw in lines]
+    found = repeated_lines(lines) if len(lines) > 2 * REPEATS else set()
     title_key, author_key = header_key(title or ""), header_key(authors or "")
     first = first_letters({title_key[:1], author_key[:1], confusion_key("l"), confusion_key("b")})
+    longest = max(110, len(title or "") + 12, len(authors or "") + 12)
     seen: dict[str, list[int]] = {}
-    for i, raw in enumerate(lines):
-        line = " ".join(raw.split())
-        if not line or len(line) > 110:
+    for i, line in enumerate(lines):
+        if not line or len(line) > longest:
             continue
-        if is_page_number(line):
+        if len(line) <= 24 and is_page_number(line):
             found.add(i)
             continue
+        head, tail = line[0], line[-1]
+        upper = line.isupper()
+        dotted = tail == "…" or tail == "." and line.endswith("...") or "…" in line[-6:] or "..." in line[-9:]
+        numbered = head in _NUMERIC or tail in _NUMERIC
+        if not (upper or dotted or numbered or "." in line[1:3] or _may_open(line, first)):
+            continue
         bare = without_number(line)
         cut_off = bare.endswith(("…", "..."))
         names = bare[1:2] == "." and bool(_INITIALS.fullmatch(bare))
@@ -263,7 +332,7 @@ def furniture_lines(lines: list[str], title: str | None, authors: str | None) ->
         if cut_off or (len(letters) >= 6 and all(c.isupper() or c in "ßlı" for c in letters)) or (names and ("," in bare or numbered)):
             seen.setdefault(key, []).append(i)
     for key, at in seen.items():
-        line = " ".join(lines[at[0]].split())
+        line = lines[at[0]]
         bare = without_number(line)
         # without title or authors to compare with: cut-off titles, capitals, and names that repeat or carry a number
         if bare.endswith(("…", "...")) or len(at) > 1 or bare != line or (not title and not _INITIALS.fullmatch(bare)) or (not authors and _INITIALS.fullmatch(bare) and "," in bare):
@@ -273,6 +342,14 @@ def furniture_lines(lines: list[str], title: str | None, authors: str | None) ->
     return found
 
 
+_NUMERIC = frozenset("0123456789lIoOSsBZzgb|!")
+
+
+def _may_open(line: str, first: set[str]) -> bool:
+    start = _KEYED.search(line)
+    return bool(start) and confusion_key(start[0].lower()) in first
+
+
 def interrupting_lines(lines: list[str], known: set[int]) -> set[int]:
     """Short lines inside a sentence: wrapping leaves none there, so they are headers (where no title is given to compare)."""
     kept = [i for i in range(len(lines)) if i not in known and lines[i].strip()]
@@ -292,29 +369,37 @@ def interrupting_lines(lines: list[str], known: set[int]) -> set[int]:
 # --- decoding ------------------------------------------------------------------------------------------------------
 
 
-class Chunk:
-    __slots__ = ("text", "hyphen", "joint", "line")
-
-    def __init__(self, text: str, hyphen: str, joint: str, line: int):
-        self.text, self.hyphen, self.joint, self.line = text, hyphen, joint, line
+class Stream:
+    """The de-lined stream: white-space chunks, the numbers of their lines, and the hyphens at line ends by chunk."""
 
+    __slots__ = ("texts", "line_of", "spans", "hyphens")
 
-def chunks_of(lines: list[str], furniture: set[int]) -> list[Chunk]:
-    """The de-lined stream: white-space chunks with what follows them: blank, line end, or hyphen at a line end."""
-    out: list[Chunk] = []
-    for number, line in enumerate(lines):
-        if number in furniture:
-            continue
-        parts = line.split()
-        for k, part in enumerate(parts):
-            last = k == len(parts) - 1
-            hyphen = part[-1] if last and part[-1] in HYPHENS and len(part) > 1 else ""
-            out.append(Chunk(part, hyphen, "line" if last else "blank", number))
-    return out
+    def __init__(self, lines: list[str], furniture: set[int]):
+        self.texts: list[str] = []
+        self.line_of: list[int] = []
+        self.spans: list[tuple[int, int, int]] = []
+        self.hyphens: dict[int, str] = {}
+        for number, line in enumerate(lines):
+            if number in furniture:
+                continue
+            parts = line.split()
+            if not parts:
+                continue
+            begin = len(self.texts)
+            self.texts += parts
+            self.line_of += [number] * len(parts)
+            self.spans.append((number, begin, len(self.texts)))
+            last = parts[-1]
+            if last[-1] in HYPHENS and len(last) > 1:
+                self.hyphens[len(self.texts) - 1] = last[-1]
 
 
-MERGE_BLANK, SPLIT, KEEP_SCAN_HYPHEN, APART = 7.0, 9.0, 6.0, 1.0
-LONGEST_MERGE = 4
+MERGE_BLANK, SPLIT, KEEP_SCAN_HYPHEN, APART = 7.0, 7.0, 6.0, 1.0
+#: Chunks over which a word may be broken; a word in more pieces stays as it is.
+LONGEST_MERGE = 6
+#: Shares of all words that the parts of words run together must have: each of them, and one of them at least. The
+#: second keeps compounds whole, which have no such frequent word in them.
+SPLIT_SOME, SPLIT_OFTEN = 2e-5, 3e-3
 
 
 class Found:
@@ -340,33 +425,40 @@ def _with_edges(chunk: str, seen: str, word: str) -> str:
     return chunk[:at] + shaped + chunk[at + len(seen) :]
 
 
-def decode_stream(chunks: list[Chunk], lexicon: Lexicon) -> list[Found]:
-    """Cheapest segmentation of the stream. Known words that meet no hyphen are settled at once; the rest in regions."""
-    n = len(chunks)
-    looked_up = [lexicon.look_up(c.text) for c in chunks]
-    cores = [word for word, _ in looked_up]
-    settled = [plain for _, plain in looked_up]
-    for i in range(n):
-        if chunks[i].hyphen:
-            settled[i] = False
-            if i + 1 < n:
-                settled[i + 1] = False
+def decode_stream(stream: Stream, lexicon: Lexicon) -> list[Found]:
+    """Cheapest segmentation of the parts of the stream that are not settled: all but known words that meet no hyphen.
+
+    A known word is open too if it and a neighbour would be a far more frequent word.
+    """
+    texts = stream.texts
+    n = len(texts)
+    known = lexicon.chunks
+    look_up, get = lexicon.look_up, known.get
+    looked_up = [get(t) or look_up(t) for t in texts]
+    is_open = {i for i, (_, plain) in enumerate(looked_up) if not plain}
+    for i in stream.hyphens:
+        is_open.add(i)
+        if i + 1 < n:
+            is_open.add(i + 1)
+    counts, rare = lexicon.counts, lexicon.some
+    for i, (word, plain) in enumerate(looked_up):
+        if plain and len(word) > 2 and word.isalpha() and (own := counts.get(word, 0)) <= rare:
+            for a, b in ((i - 1, i), (i, i + 1)):
+                if 0 <= a and b < n and texts[a][-1:].isalpha() and looked_up[a][0].isalpha() and looked_up[b][0].isalpha() and counts.get(looked_up[a][0] + looked_up[b][0], 0) >= TIMES_AS_FREQUENT * max(own, 1):
+                    is_open |= {a, b}
     out: list[Found] = []
-    i = 0
-    while i < n:
-        if settled[i]:
-            out.append(Found(i, i, cores[i], False, False, chunks[i].text))
-            i += 1
+    end = -1
+    for i in sorted(is_open):
+        if i <= end:
             continue
-        j = i
-        while j < n and not settled[j]:
-            j += 1
-        out.extend(_region(chunks, cores, i, j, lexicon))
-        i = j
+        end = i
+        while end + 1 in is_open:
+            end += 1
+        out.extend(_region(stream, [word for word, _ in looked_up[i : end + 1]], i, end + 1, lexicon))
     return out
 
 
-def _single(chunk: Chunk, seen: str, lexicon: Lexicon) -> tuple[str, float]:
+def _single(seen: str, lexicon: Lexicon) -> tuple[str, float]:
     if not seen or not any(c.isalpha() for c in seen):
         return seen, 2.0
     if not _WORD.fullmatch(seen) and not _ODD.search(seen):
@@ -374,67 +466,73 @@ def _single(chunk: Chunk, seen: str, lexicon: Lexicon) -> tuple[str, float]:
     return lexicon.decode(seen)
 
 
-def _region(chunks: list[Chunk], cores: list[str], start: int, end: int, lexicon: Lexicon) -> list[Found]:
+def _region(stream: Stream, cores: list[str], start: int, end: int, lexicon: Lexicon) -> list[Found]:
+    """The cheapest path over one region: each arc keeps or corrects a chunk, merges several, or splits one."""
     size = end - start
+    texts, hyphens = stream.texts, stream.hyphens
     best: list[float] = [0.0] + [math.inf] * size
     back: list[tuple[int, str, str, bool]] = [(0, "", "", False)] * (size + 1)
     for a in range(size):
         if best[a] == math.inf:
             continue
-        seen = ""
         paths = [("", False)]
+        blanks = 0
         for b in range(a, min(size, a + LONGEST_MERGE)):
-            chunk = chunks[start + b]
-            piece = chunk.text[: len(chunk.text) - len(chunk.hyphen)] if chunk.hyphen else chunk.text
-            piece = piece.lower().lstrip(_EDGES) if b == a else piece.lower()
+            chunk, hyphen = texts[start + b], hyphens.get(start + b, "")
+            piece = chunk[: len(chunk) - len(hyphen)].lower()
+            if b == a:
+                piece = piece.lstrip(_EDGES)
             whole = [(seen + piece, joined) for seen, joined in paths]
             for text, joined in whole:
                 word = text.rstrip(_EDGES).rstrip("'’")
                 if b == a:
-                    tail = "-" if chunk.hyphen else ""
-                    decoded, cost = _single(chunk, core(chunk.text) if not tail else word + tail, lexicon)
+                    tail = "-" if hyphen else ""
+                    decoded, cost = _single(word + tail if tail else cores[a], lexicon)
                     if tail:
                         plain, plain_cost = lexicon.decode(word)
                         if plain_cost + 4.0 < cost:  # ends rightly in a hyphen, though not known with it
                             decoded, cost = plain + tail, plain_cost + 4.0
-                        cost += APART + (KEEP_SCAN_HYPHEN if chunk.hyphen != "-" else 0.0)
+                        cost += APART + (KEEP_SCAN_HYPHEN if hyphen != "-" else 0.0)
                         word += tail
                     else:
-                        word = core(chunk.text)
+                        word = cores[a]
                 else:
                     if not _mergeable(word):
                         continue
                     decoded, cost = lexicon.decode(word)
-                    cost += 0.3 * (b - a) + _blanks(chunks, start + a, start + b) * MERGE_BLANK
-                    if joined and chunk.hyphen:
+                    if blanks and lexicon.counts.get(decoded, 0) < 2:
+                        continue  # pieces apart by a blank are one word only if it is known
+                    cost += 0.3 * (b - a) + blanks * MERGE_BLANK
+                    if joined and hyphen:
                         cost += 3.0
                 total = best[a] + cost
                 if total < best[b + 1]:
                     best[b + 1] = total
                     back[b + 1] = (a, word, decoded, joined)
-            if b == a and not chunk.hyphen and size == 1:
-                split = _split(cores[start + a], lexicon)
-                if split and best[a] + split[1] + SPLIT < best[b + 1]:
-                    best[b + 1] = best[a] + split[1] + SPLIT
-                    back[b + 1] = (a, cores[start + a], split[0], False)
-            if chunk.hyphen:
-                paths = [(text, True) for text, _ in whole] + ([(text + "-", joined) for text, joined in whole] if chunk.hyphen == "-" else [])
-            elif chunk.text[-1:] in _EDGES:
+            if b == a and not hyphen:
+                split = _split(cores[a], lexicon)
+                if split and best[a] + split[1] < best[b + 1]:
+                    best[b + 1] = best[a] + split[1]
+                    back[b + 1] = (a, cores[a], split[0], False)
+            if hyphen:
+                paths = [(text, True) for text, _ in whole] + ([(text + "-", joined) for text, joined in whole] if hyphen == "-" else [])
+            elif chunk[-1:] in _EDGES:
                 break
             else:
                 paths = whole
+                blanks += 1
     out, b = [], size
     while b > 0:
         a, word, decoded, joined = back[b]
         first, last = start + a, start + b - 1
         if last > first:
-            head, tail = chunks[first].text, chunks[last].text
+            head, tail = texts[first], texts[last]
             lead = head[: len(head) - len(head.lstrip(_EDGES))]
             trail = tail[len(tail.rstrip(_EDGES)) :]
             shaped = decoded[:1].upper() + decoded[1:] if head.lstrip(_EDGES)[:1].isupper() else decoded
             text = lead + shaped + trail
         else:
-            text = chunks[first].text if word == decoded else _with_edges(chunks[first].text, word, decoded)
+            text = texts[first] if word == decoded else _with_edges(texts[first], word, decoded)
         corrected = decoded != word and " " not in decoded
         out.append(Found(first, last, decoded, joined and last > first, corrected, text))
         b = a
@@ -442,30 +540,51 @@ def _region(chunks: list[Chunk], cores: list[str], start: int, end: int, lexicon
 
 
 def _mergeable(word: str) -> bool:
-    return 3 <= len(word) <= 60 and any(c.isalpha() for c in word) and not re.search(r"\s|[^\w\-'’" + re.escape("".join(LIKELY)) + "]", word)
+    return 3 <= len(word) <= 60 and bool(_MERGEABLE.fullmatch(word)) and any(map(str.isalpha, word))
 
 
-def _blanks(chunks: list[Chunk], first: int, last: int) -> int:
-    return sum(1 for i in range(first, last) if not chunks[i].hyphen)
+_MERGEABLE = re.compile(r"[\w\-'’" + re.escape("".join(LIKELY)) + "]+")
 
 
 def _split(word: str, lexicon: Lexicon) -> tuple[str, float] | None:
-    """Two known words that were run together, as one string with a blank."""
-    if len(word) < 6 or not _WORD.fullmatch(word):
+    """Known words that were run together, as one string with blanks, and its cost; the cheapest way over all places to cut."""
+    odd = bool(_ODD.search(word))
+    if odd:
+        word = "".join(LIKELY.get(c, c) for c in word)
+    n = len(word)
+    if n < 5 or n > 60 or not _WORD.fullmatch(word) or lexicon.counts.get(word, 0) >= 2:
         return None
-    found = None
-    for i in range(2, len(word) - 1):
-        a, b = word[:i], word[i:]
-        if lexicon.counts.get(a, 0) >= 20 and lexicon.counts.get(b, 0) >= 20:
-            cost = lexicon.cost(a) + lexicon.cost(b)
-            if found is None or cost < found[1]:
-                found = f"{a} {b}", cost
-    return found
+    # by number of letters: cost without and with a frequent part so far, and where the last part begins
+    value = [[math.inf, math.inf] for _ in range(n + 1)]
+    come: list[list[tuple[int, int] | None]] = [[None, None] for _ in range(n + 1)]
+    value[0][0] = 0.0
+    counts = lexicon.counts
+    for i in range(n - 1):
+        if value[i] == [math.inf, math.inf]:
+            continue
+        for j in range(i + 2, n + 1):
+            if (i, j) == (0, n) or (count := counts.get(word[i:j], 0)) < lexicon.some:
+                continue
+            cost = lexicon.log_total - math.log(count) + (SPLIT if i else 0.0)
+            for state in (0, 1):
+                now = 1 if state or count >= lexicon.often else 0
+                if value[i][state] + cost < value[j][now]:
+                    value[j][now] = value[i][state] + cost
+                    come[j][now] = i, state
+    if value[n][1] == math.inf:
+        return None
+    parts, j, state = [], n, 1
+    while j:
+        i, state = come[j][state]
+        parts.append(word[i:j])
+        j = i
+    return " ".join(reversed(parts)), value[n][1] + 3.0 * odd
 
 
 # --- paragraphs ----------------------------------------------------------------------------------------------------
 
 _END = re.compile(r"[.!?:…][\"”»)\]]*$")
+_ENDING = frozenset(".!?:…\"”»)]*")
 _HEADING = re.compile(r"\d+(?:\.\d+)* [^\W\d]")
 
 
@@ -477,17 +596,21 @@ def paragraph_starts(lines: list[str], kept: list[int]) -> set[int]:
     """
     if not kept:
         return set()
+    stripped = [lines[i].strip() for i in kept]
     width = max(len(lines[i].rstrip()) for i in kept)
+    ends = [t[-1] in _ENDING and bool(_END.search(t)) for t in stripped]
+    heads = [t[0].isdigit() and len(t) < 60 and bool(_HEADING.match(t)) for t in stripped]
     costs = []
-    for before, now in zip(kept, kept[1:]):
-        last, first = lines[before].rstrip(), lines[now].lstrip()
-        heading = bool(_HEADING.match(first)) and len(first) < 60
-        after_heading = bool(_HEADING.match(last.lstrip())) and len(last) < 60 and not _END.search(last)
-        blank = any(not lines[i].strip() for i in range(before + 1, now))
-        gap = sum(1 for i in range(before + 1, now) if lines[i].strip())
-        start = 3.0 - 4.0 * (blank and not gap) - 2.0 * bool(_END.search(last)) - 1.5 * (len(last) < 0.7 * width) - 6.0 * (heading or after_heading) + 6.0 * first[:1].islower() + 6.0 * (last[-1:] in HYPHENS) + 3.0 * (not _END.search(last) and not (heading or after_heading))
-        carry = 4.0 * (blank and not gap and bool(_END.search(last))) + 5.0 * (heading or after_heading)
-        costs.append((start, carry))
+    for k in range(1, len(kept)):
+        before, now = kept[k - 1], kept[k]
+        last, first, end = stripped[k - 1], stripped[k], ends[k - 1]
+        heading, after_heading = heads[k], heads[k - 1] and not end
+        clear = False  # blank lines between and nothing else
+        if now > before + 1:
+            clear = any(not lines[i].strip() for i in range(before + 1, now)) and not any(lines[i].strip() for i in range(before + 1, now))
+        titled = heading or after_heading
+        start = 3.0 - 4.0 * clear - 2.0 * end - 1.5 * (len(last) < 0.7 * width) - 6.0 * titled + 6.0 * first[0].islower() + 6.0 * (last[-1] in HYPHENS) + 3.0 * (not end and not titled)
+        costs.append((start, 4.0 * (clear and end) + 5.0 * titled))
     alone = 1.5
     # state 0: the line continues a paragraph, 1: it starts one
     value, back = [math.inf, 0.0], []
@@ -513,60 +636,110 @@ def repair(text: str, title: str | None, authors: str | None, lexicon: Lexicon)
     lines = text.split("\n")
     furniture = furniture_lines(lines, title, authors)
     changes = dict.fromkeys(("line", " ".join(lines[i].split())) for i in sorted(furniture))
-    chunks = chunks_of(lines, furniture)
-    found = decode_stream(chunks, lexicon)
-    kept = sorted({c.line for c in chunks})
-    starts = paragraph_starts(lines, kept)
-    paragraphs: list[list[str]] = []
-    line = -1
-    for f in found:
+    stream = Stream(lines, furniture)
+    pieces: list[str | None] = list(stream.texts)
+    for f in decode_stream(stream, lexicon):
         if f.joined:
             changes["hyphen", f.word] = None
         if f.corrected:
             changes["char", f.word] = None
-        now = chunks[f.first].line
-        if now != line and (now in starts or not paragraphs):
+        pieces[f.first] = f.text
+        pieces[f.first + 1 : f.last + 1] = [None] * (f.last - f.first)
+    starts = paragraph_starts(lines, [number for number, _, _ in stream.spans])
+    paragraphs: list[list[str]] = []
+    for number, begin, end in stream.spans:
+        own = [t for t in pieces[begin:end] if t is not None]
+        if own and (number in starts or not paragraphs):
             paragraphs.append([])
-        line = chunks[f.last].line
-        paragraphs[-1].append(f.text)
+        if own:
+            paragraphs[-1] += own
     return "\n\n".join(" ".join(p) for p in paragraphs), list(changes)
 
 
 CHANGE = "struct<kind: string, item: string>"
 
 
-def _repair_rows(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+REPAIRED = f"paper_no long, field string, repaired string, changes array<{CHANGE}>"
+
+
+def _repaired(batch: pd.DataFrame, lexicon: Callable[[int], Lexicon]) -> pd.DataFrame:
+    out: dict[str, list] = {"paper_no": [], "field": [], "repaired": [], "changes": []}
+    for row, (number, title, authors) in enumerate(zip(batch["paper_no"], batch["title"], batch["authors"])):
+        for field in FIELDS:
+            text = batch[field].iloc[row]
+            if not text or not text.strip():
+                continue
+            repaired, changes = repair(text, title, authors, lexicon(row))
+            out["paper_no"].append(number)
+            out["field"].append(field)
+            out["repaired"].append(repaired)
+            out["changes"].append([{"kind": k, "item": v} for k, v in changes])
+    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
+
+
+def _keyed(words: DataFrame) -> DataFrame:
+    """(key, word, n): the two most frequent words of each confusion key."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(counts)
         for batch in batches:
-            out: dict[str, list] = {"paper_no": [], "field": [], "repaired": [], "changes": []}
-            for row in range(len(batch)):
-                title, authors = batch["title"].iloc[row], batch["authors"].iloc[row]
-                for field in FIELDS:
-                    text = batch[field].iloc[row]
-                    if not text or not text.strip():
-                        continue
-                    repaired, changes = repair(text, title, authors, lexicon)
-                    out["paper_no"].append(batch["paper_no"].iloc[row])
-                    out["field"].append(field)
-                    out["repaired"].append(repaired)
-                    out["changes"].append([{"kind": k, "item": v} for k, v in changes])
-            if out["field"]:
-                yield pd.DataFrame(out)
+            rows = [(key, w, n) for w, n in zip(batch["word"], batch["n"]) for key in {confusion_key(w, pairs) for pairs in ORDERS}]
+            yield pd.DataFrame(rows, columns=["key", "word", "n"])
 
-    return run
+    order = Window.partitionBy("key").orderBy(F.desc("n"), "word")
+    return words.mapInPandas(run, "key string, word string, n long").withColumn("at", F.row_number().over(order)).filter("at <= 2").drop("at")
 
 
 def repair_papers(papers: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
     """(paper_no, field, repaired, changes) for every non-blank field; changes name each repair once.
 
-    Null and blank fields have no row. Title and authors, where given, help to know running headers. The lexicon is
-    broadcast: at most ``words`` words, the most frequent ones by counts over all papers.
+    Null and blank fields have no row. Title and authors, where given, help to know running headers. Of the lexicon the
+    ``words`` most frequent ones are broadcast; if there are more, a pass before finds out which of them each paper needs.
     """
-    counts = papers.sparkSession.sparkContext.broadcast(fit_lexicon(papers, words))
+    spark = papers.sparkSession
+    counts = cut(word_counts(papers))
+    held, total = fit_lexicon(counts, words), counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    shared = spark.sparkContext.broadcast(held)
+    narrow = widen(papers.select("paper_no", "title", "authors", *FIELDS))
+    if len(held) < words:
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _repair_rows(counts.value)(batches)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lexicon = Lexicon(shared.value, total)
+            for batch in batches:
+                yield _repaired(batch, lambda _: lexicon)
 
-    narrow = widen(papers.select("paper_no", "title", "authors", *FIELDS))
-    return narrow.mapInPandas(run, f"paper_no long, field string, repaired string, changes array<{CHANGE}>")
+        return narrow.mapInPandas(run, REPAIRED)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(shared.value, total)
+        for batch in batches:
+            asked = []
+            for row in range(len(batch)):
+                recorder, missing_words, missing_keys = lexicon.recording()
+                _repaired(batch.iloc[row : row + 1].reset_index(drop=True), lambda _: recorder)
+                asked.append(([w for w in missing_words.missing if w], list(missing_keys.missing)))
+            yield batch.assign(words=pd.Series([a[0] for a in asked], dtype=object), keys=pd.Series([a[1] for a in asked], dtype=object))
+
+    fields = f"paper_no long, title string, authors string, {', '.join(f'{f} string' for f in FIELDS)}"
+    asked = cut(narrow.mapInPandas(ask, f"{fields}, words array<string>, keys array<string>").withColumn("row", F.expr("uuid()")))
+    rest = cut(counts.join(F.broadcast(spark.createDataFrame([(min(held.values()),)], "least long")), F.col("n") <= F.col("least")).select("word", "n"))
+    word_rows = asked.select("row", F.explode("words").alias("word")).join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    key_rows = asked.select("row", F.explode("keys").alias("key")).join(_keyed(rest), "key").groupBy("row").agg(F.collect_list(F.struct("key", "word", "n")).alias("keyed"))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(shared.value, total)
+        for batch in batches:
+
+            def own(row: int) -> Lexicon:
+                known, keyed = batch["known"].iloc[row], batch["keyed"].iloc[row]
+                more = {e["word"]: int(e["n"]) for e in (known if known is not None else ())}
+                by_key: dict[str, list[str]] = {}
+                for e in sorted(keyed if keyed is not None else (), key=lambda e: (-e["n"], e["word"])):
+                    if e["word"] not in lexicon.counts:
+                        by_key.setdefault(e["key"], []).append(e["word"])
+                        more[e["word"]] = int(e["n"])
+                return lexicon.with_rest({w: n for w, n in more.items() if w not in lexicon.counts}, by_key)
+
+            yield _repaired(batch, own)
+
+    joined = asked.drop("words", "keys").join(word_rows, "row", "left").join(key_rows, "row", "left").drop("row")
+    return joined.mapInPandas(answer, REPAIRED)
