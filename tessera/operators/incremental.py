@@ -47,14 +47,35 @@ def until_target(items: DataFrame, order: str, ties: list[str], hit: Column, tar
     return counted.filter(F.col("__hits") < target).drop("__hits")
 
 
+#: Fields of a cache line; the old form lacks the pages.
+CACHE_FIELDS = ("id", "volume", "rel_path", "src", "score", "pages", "signals")
+
+
+def cache_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """All lines as (width, fields): quoted cells are read as CSV does, header and blank lines are left out.
+
+    ``width`` is null for lines whose number of fields is neither that of the present nor of the old form; their cells
+    are null.
+    """
+    line = F.col(text)
+    width = F.regexp_count(F.regexp_replace(line, r'"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+    cells = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(len(CACHE_FIELDS)))), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    read = lines.filter(line.isNotNull() & (line != "")).select(width.alias("w"), cells.alias("c")).filter("not coalesce(c.c0 = 'id', false)")
+    now, old = F.col("w") == len(CACHE_FIELDS), F.col("w") == len(CACHE_FIELDS) - 1
+    taken = [F.when(now | old, F.col(f"c.c{i}")).alias(name) for i, name in enumerate(CACHE_FIELDS[:5])]
+    pages = F.when(now & ~F.coalesce(F.lower(F.trim("c.c5")).isin("", "nan", "none"), F.lit(True)), F.col("c.c5"))
+    return read.select(F.when(now | old, F.col("w")).alias("width"), *taken, pages.alias("pages"), F.when(now, F.col("c.c6")).when(old, F.col("c.c5")).alias("signals"))
+
+
 def read_ragged(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Score-cache lines with seven fields, or six in the old form without pages; header, blank and other widths are dropped."""
-    parts = F.split(F.col(text), ",", 7)
-    plain = lines.filter(F.trim(text) != "").filter(~F.col(text).startswith("id,")).select(parts.alias("p"), (F.size(F.split(F.col(text), ",")) - 1).alias("commas"))
-    new = plain.filter("commas >= 6").select(*[F.col("p")[i].alias(n) for i, n in enumerate(("id", "volume", "rel_path", "src", "score", "pages", "signals"))])
-    old = plain.filter("commas = 5").select(*[F.col("p")[i].alias(n) for i, n in enumerate(("id", "volume", "rel_path", "src", "score"))], F.lit("").alias("pages"), F.col("p")[5].alias("signals"))
-    rows = new.unionByName(old)
-    return rows.select("id", "volume", F.col("score").try_cast("double").alias("score"), F.col("pages").try_cast("int").alias("pages")).filter("score is not null")
+    """(id, volume, rel_path, src, score, pages, signals) of the cache lines of either form with a readable score.
+
+    Pages are cut to whole numbers, as ``7.0`` is 7; what is no number has no pages. Lines of other widths are left out
+    (``cache_lines`` counts them).
+    """
+    rows = cache_lines(lines, text).filter("width is not null")
+    number = F.col("pages").try_cast("double")
+    return rows.select("id", "volume", "rel_path", "src", F.col("score").try_cast("double").alias("score"), F.when(~F.isnan(number), number.try_cast("int")).alias("pages"), "signals").filter("score is not null")
 
 
 def reconstruct_manifest(staged: DataFrame, cache: DataFrame) -> DataFrame:
@@ -93,5 +114,23 @@ def next_open(rows: DataFrame, position: str, open_: Column, after: int) -> Data
 
 
 def rolling_mean(rows: DataFrame, run: str, order: list[str], value: str, last: int = 20) -> DataFrame:
-    window = Window.partitionBy(run).orderBy(*order).rowsBetween(-(last - 1), 0)
-    return rows.withColumn("rolling", F.avg(value).over(window))
+    """Adds ``rolling``, the mean of the run's last rows in the order, the row included; nulls don't count.
+
+    Rows are ordered inside days of the run; a day's first rows take what they lack from the last rows of the days
+    before, which are at most ``last - 1``, so a run that holds much of the log is not sorted in one task. The first
+    order column is the time.
+    """
+    day = F.coalesce(F.date_trunc("day", F.col(order[0]).cast("timestamp")), F.lit("0001-01-01").cast("timestamp"))
+    keyed = rows.withColumn("__day", day)
+    inside = Window.partitionBy(run, "__day").orderBy(*order)
+    near = inside.rowsBetween(-(last - 1), 0)
+    own = keyed.withColumn("__n", F.row_number().over(inside)).withColumn("__sum", F.coalesce(F.sum(value).over(near), F.lit(0.0))).withColumn("__count", F.count(value).over(near))
+    latest = Window.partitionBy(run, "__day").orderBy(*[F.desc(c) for c in order])
+    ends = keyed.select(run, "__day", *[c for c in order if c != run], F.col(value).alias("__v")).withColumn("__r", F.row_number().over(latest)).filter(F.col("__r") < last)
+    tails = ends.groupBy(run, "__day").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__v"))), lambda t: F.struct(t["__v"].alias("v"))).alias("__tail"))
+    days = Window.partitionBy(run).orderBy(F.desc("__day")).rowsBetween(1, last - 1)
+    carried = tails.withColumn("__before", F.slice(F.flatten(F.collect_list("__tail").over(days)), 1, last - 1)).drop("__tail")
+    taken = F.filter(F.slice(F.coalesce("__before", F.array().cast("array<struct<v: double>>")), 1, F.greatest(F.lit(last) - F.col("__n"), F.lit(0))), lambda t: t["v"].isNotNull())
+    total = F.col("__sum") + F.aggregate(taken, F.lit(0.0), lambda t, x: t + x["v"])
+    rolled = own.join(carried, [run, "__day"], "left").withColumn("rolling", F.try_divide(total, F.col("__count") + F.size(taken)))
+    return rolled.drop("__day", "__n", "__sum", "__count", "__before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels
 from tessera.operators.decisions import DIMENSIONS, GATE
+from tessera.runtime import bounded_broadcast
 
 EXAMPLES = 5
 
@@ -84,7 +85,7 @@ def candidate_table(suggestions: DataFrame, decisions: DataFrame, scheme: DataFr
 
 
 def new_candidates(frequencies: DataFrame, scheme: DataFrame) -> DataFrame:
-    return frequencies.join(F.broadcast(scheme_keys(scheme).select("dimension", "key").distinct()), ["dimension", "key"], "left_anti")
+    return frequencies.join(bounded_broadcast(scheme_keys(scheme).select("dimension", "key").distinct()), ["dimension", "key"], "left_anti")
 
 
 def merge_candidates(existing: DataFrame, found: DataFrame, scheme: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def merge_candidates(existing: DataFrame, found: DataFrame, scheme: DataFrame) -
 def coder_categories(decisions: DataFrame, scheme: DataFrame) -> DataFrame:
     """(dimension, key, coders, n): keys coders gave that the scheme does not hold; the reserved answer is never one."""
     given = decisions.filter(F.col("dimension") != GATE).select("coder", "dimension", F.explode(labels.coder_set(F.col("value"))).alias("key"))
-    fresh = given.filter(F.col("key") != labels.SENTINEL).filter(~F.lower("key").isin(*labels.NULL_WORDS)).join(F.broadcast(scheme_keys(scheme).select("dimension", "key").distinct()), ["dimension", "key"], "left_anti")
+    fresh = given.filter(F.col("key") != labels.SENTINEL).filter(~F.lower("key").isin(*labels.NULL_WORDS)).join(bounded_broadcast(scheme_keys(scheme).select("dimension", "key").distinct()), ["dimension", "key"], "left_anti")
     return fresh.groupBy("dimension", "key").agg(F.array_join(F.array_sort(F.collect_set("coder")), ",").alias("coders"), F.count("*").alias("n"))
 
 

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels
 from tessera.operators.decisions import DIMENSIONS, GATE
+from tessera.runtime import bounded_broadcast
 
 SINGLE = ("research_position",)
 GATE_WEIGHT, PANEL, FLOOR, NARROW = 0.5, 3, 0.9, 0.02
+MODELS = 10_000
 
 
 def gate_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(model, id, human, answer): every reference paper for every model; answer is null without a readable prediction."""
-    models = predicted.select("model").distinct()
+    """(model, id, human, answer): every reference paper for every model; answer is null without a readable prediction.
+
+    Models are few: each paper carries the list of all of them, at most ``MODELS``.
+    """
+    models = predicted.select("model").distinct().limit(MODELS + 1).agg(F.array_sort(F.collect_set("model")).alias("models"))
+    checked = F.when(F.size("models") > MODELS, F.raise_error(F.lit(f"more than {MODELS} models")).cast("array<string>")).otherwise(F.col("models"))
     answers = predicted.filter(F.col("dimension") == GATE).groupBy("model", "id").agg(F.max(labels.gate_value(F.col("value"))).alias("answer"))
-    return gold.join(F.broadcast(models)).join(answers, ["model", "id"], "left").select("model", "id", F.col("gate").alias("human"), "answer")
+    return gold.crossJoin(F.broadcast(models)).withColumn("model", F.explode(checked)).join(answers, ["model", "id"], "left").select("model", "id", F.col("gate").alias("human"), "answer")
 
 
 def gate_scores(pairs: DataFrame) -> DataFrame:
@@ -72,6 +78,24 @@ def rank_models(overall: DataFrame, size: int = PANEL, floor: float = FLOOR) ->
     return ranked.withColumn("narrow", F.coalesce(F.col("margin") < NARROW, F.lit(False))).filter(F.col("place") <= size)
 
 
+def panel_choice(overall: DataFrame, size: int = PANEL, floor: float = FLOOR, pin: str | None = None) -> DataFrame:
+    """(place, model, overall, margin, reason): the panel; equal scores fall to the pinned model, then by name.
+
+    ``reason`` is on every row: ``short of n`` where fewer models reach the floor, which with two models adds that both
+    must agree; ``narrow`` where the last seat is less than two hundredths above the next model; else empty. Models are
+    few, so one ordered window holds them all.
+    """
+    eligible = overall.filter((F.col("coverage") >= floor) & F.col("overall").isNotNull())
+    pinned = (F.col("model") == pin).cast("int") if pin is not None else F.lit(0)
+    order = Window.orderBy(F.desc(F.round("overall", 4)), F.desc("__pinned"), "model")
+    ranked = eligible.withColumn("__pinned", pinned).select(F.row_number().over(order).alias("place"), "model", "overall", F.round(F.col("overall") - F.lead("overall").over(order), 4).alias("margin"))
+    chosen = ranked.filter(F.col("place") <= size)
+    whole = Window.partitionBy()
+    seats, last = F.count("*").over(whole), F.max(F.when(F.col("place") == size, F.col("margin"))).over(whole)
+    reason = F.when(seats == 2, f"short of {size}, both must agree").when(seats < size, f"short of {size}").when(last < NARROW, "narrow").otherwise("")
+    return chosen.select("*", reason.alias("reason"))
+
+
 def category_scores(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """(model, dimension, category, tp, fp, fn, precision, recall, f1, in_schema) of every category met."""
     human = pairs.select("model", "dimension", "id", F.explode("human").alias("category")).withColumn("h", F.lit(1))
@@ -82,7 +106,7 @@ def category_scores(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     )
     known = keys.select("dimension", F.col("category_key").alias("category"), F.lit(True).alias("in_schema")).distinct()
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return sums.join(F.broadcast(known), ["dimension", "category"], "left").select(
+    return sums.join(bounded_broadcast(known), ["dimension", "category"], "left").select(
         "model", "dimension", "category", "tp", "fp", "fn", F.round(labels.ratio(tp, tp + fp), 4).alias("precision"), F.round(labels.ratio(tp, tp + fn), 4).alias("recall"),
         F.round(labels.f1(tp, fp, fn), 4).alias("f1"), F.coalesce("in_schema", F.lit(False)).alias("in_schema"),
     )

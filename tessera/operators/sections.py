@@ -32,8 +32,9 @@ INSTITUTIONS = (
 UNDEFINED_BYTES = "\x81\x8d\x8f\x90\x9d"
 
 _M, _MI = re.MULTILINE, re.MULTILINE | re.IGNORECASE
-_NUMBERED_OPENING = re.compile(rf"^\s*1(?:\s*\n\s*|\.?\s+|:\s*)(?:{OPENING})", _MI)
-_LONE_OPENING = re.compile(rf"^\s*(?:{PLAIN_OPENING}|Problemstellung)\s*$|^\s*(?:{PLAIN_OPENING})(?::\s*.+|[\s–—-]+.{{1,50}})$", _MI)
+#: Fixed values from here to the trailers: formats of headings and lines; those in a tuple are tried one after another.
+_NUMBERED_OPENING = tuple(re.compile(rf"^\s*1{between}(?:{OPENING})", _MI) for between in (r"\s*\n\s*", r"\.?\s+", r":\s*"))
+_LONE_OPENING = tuple(re.compile(rf"^\s*{line}$", _MI) for line in (rf"(?:{PLAIN_OPENING}|Problemstellung)\s*", rf"(?:{PLAIN_OPENING}):\s*.+", rf"(?:{PLAIN_OPENING})[\s–—-]+.{{1,50}}"))
 _ABSTRACT_LINE = re.compile(rf"^(?:{ABSTRACT}):\s*", _MI)
 _ABSTRACT_START = re.compile(rf"^(?:{ABSTRACT}|Abtract)[:.]\s*", _MI)
 _KEYWORD_LINE = re.compile(rf"^(?:{KEYWORDS}):\s*.+$", _MI)
@@ -88,9 +89,14 @@ def _at(pattern: re.Pattern[str], text: str, begin: int = 0, end: int | None = N
     return begin + found.start(group) if found else None
 
 
+def _first_at(patterns: tuple[re.Pattern[str], ...], text: str, begin: int = 0, end: int | None = None) -> int | None:
+    """Where the first of the patterns that is found at all is found first."""
+    return next((place for p in patterns if (place := _at(p, text, begin, end)) is not None), None)
+
+
 def _opening_near_start(text: str) -> int | None:
     begin = _at(_ABSTRACT_LINE, text) or 0
-    return _at(_LONE_OPENING, text, begin, begin + SAMPLE)
+    return _first_at(_LONE_OPENING, text, begin, begin + SAMPLE)
 
 
 def _below_abstract(text: str) -> int | None:
@@ -119,7 +125,7 @@ def _below_keywords(text: str) -> int | None:
 
 
 #: The ways to find where the main content starts, in the order in which they are tried.
-STARTS = (lambda t: _at(_NUMBERED_OPENING, t), _opening_near_start, _below_abstract, _below_keywords, lambda t: _at(_SECTION_ONE, t))
+STARTS = (lambda t: _first_at(_NUMBERED_OPENING, t), _opening_near_start, _below_abstract, _below_keywords, lambda t: _at(_SECTION_ONE, t))
 
 
 def references_heading(text: str) -> re.Match[str] | None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels
 from tessera.operators.decisions import DIMENSIONS, GATE
+from tessera.runtime import bounded_broadcast
 
 SINGLE = "research_position"
 MULTI = tuple(d for d in DIMENSIONS if d != SINGLE)
@@ -16,7 +17,7 @@ MULTI = tuple(d for d in DIMENSIONS if d != SINGLE)
 
 def panel_votes(decisions: DataFrame, seats: DataFrame) -> DataFrame:
     """(id, seat, dimension, value, certainty, error): the seats' answers; an answer sheet without a readable gate is an error."""
-    own = decisions.join(F.broadcast(seats), "coder")
+    own = decisions.join(bounded_broadcast(seats), "coder")
     readable = own.groupBy("id", "seat").agg(F.max(F.when(F.col("dimension") == GATE, labels.gate_value(F.col("value")).isNotNull())).alias("ok"))
     return own.join(readable, ["id", "seat"]).select("id", "seat", "dimension", "value", F.col("model_certainty").alias("certainty"), (~F.coalesce("ok", F.lit(False))).alias("error"))
 
@@ -79,7 +80,7 @@ def vote_dissent(votes: DataFrame, seats: DataFrame) -> DataFrame:
     split = panel_single(votes, SINGLE).select("id", F.lit(SINGLE).alias("dimension"), single.alias("dissent")).unionByName(panel_multis(votes).select("id", "dimension", "dissent"))
     place = F.array_position(F.array(*[F.lit(d) for d in DIMENSIONS]), F.col("dimension"))
     fields = split.filter("dissent <> ''").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "dissent"))), lambda f: f["dissent"]).alias("fields"))
-    missed = votes.filter("error").select("id", "seat").distinct().join(F.broadcast(seats), "seat")
+    missed = votes.filter("error").select("id", "seat").distinct().join(bounded_broadcast(seats), "seat")
     missed = missed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seat", "coder"))), lambda s: s["coder"]), "+").alias("out"))
     none = F.array().cast("array<string>")
     parts = F.concat(F.array("gate"), F.coalesce("fields", none), F.when(F.col("out").isNotNull() & (F.col("cast") > 0), F.array(F.concat(F.lit("abstained:"), "out"))).otherwise(none))
@@ -111,3 +112,10 @@ def panel_labels(votes: DataFrame) -> DataFrame:
     sources = answers.filter(fits | (F.col("seat") == 0)).groupBy("id", "gate", "dissent").agg(F.min_by(F.struct("seat", "certainty"), F.struct((~fits).alias("other"), "seat")).alias("s"))
     judged = gate.join(sources.select("id", "s"), "id", "left").select("id", F.lit(GATE).alias("dimension"), F.coalesce(F.col("gate").cast("string"), F.lit("")).alias("categories"), "dissent", "s")
     return picked.unionByName(judged).select("id", "dimension", "categories", "dissent", "s.seat", "s.certainty")
+
+
+def merged_row(merged: DataFrame, dissent: DataFrame) -> DataFrame:
+    """(id, gate, and for each dimension its label, seat and certainty, dissent): the merged annotation of a paper as one row."""
+    fields = [(GATE, "gate"), *((d, d) for d in DIMENSIONS)]
+    picked = [F.max(F.when(F.col("dimension") == d, F.col(c))).alias(name if c == "categories" else f"{name}_{c}") for d, name in fields for c in ("categories", "seat", "certainty")]
+    return merged.groupBy("id").agg(*picked).join(dissent, "id", "left")

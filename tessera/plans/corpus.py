@@ -112,12 +112,15 @@ def candidates_with_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ragged_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Both cache forms written out as lines and read back."""
-    cache = load(spark, folder, "score_cache").filter("id is not null and id not like '%,%'")
-    head = [F.col("id"), F.col("volume"), F.col("rel_path"), F.col("src"), F.coalesce(F.col("score").cast("string"), F.lit(""))]
-    new = F.concat_ws(",", *head, F.coalesce(F.col("pages").cast("string"), F.lit("")), F.lit("{}"))
-    old = F.concat_ws(",", *head, F.lit("{}"))
-    lines = cache.select(F.when(F.length("id") % 2 == 0, new).otherwise(old).alias("value"))
+    """Cache lines of both forms, quoted cells and broken lines among them, read back; ids get a comma and a quote."""
+    cache = load(spark, folder, "score_cache").filter("id is not null")
+    cells = [F.concat("id", F.lit(', "b"')).alias("id"), "volume", "rel_path", "src", "score"]
+    style = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    new = F.to_csv(F.struct(*cells, F.concat("pages", F.lit(".0")).alias("pages"), "signals"), style)
+    old = F.to_csv(F.struct(*cells, "signals"), style)
+    wide = F.concat(old, F.lit(",1,2,3"))
+    number = F.length("id")
+    lines = cache.select(F.explode(F.array(F.when(number % 2 == 0, new).otherwise(old), F.when(number % 3 == 0, wide).otherwise(F.lit("id,volume,rel_path,src,score,signals")))).alias("value"))
     return incremental.read_ragged(lines)
 
 
@@ -215,5 +218,5 @@ SQL: dict[str, str] = {
     "candidates_with_fallback": f"""
       with {ITEMS}, p as (select id, max(pages) as pages, max(source_folder) as volume from papers where id is not null group by id)
       select coalesce(p.id, i.id) as id, coalesce(p.volume, i.volume) as volume, coalesce(p.pages, i.pages) as pages from p full join items i on p.id = i.id""",
-    "ragged_cache": """select id, volume, score, case when length(id) % 2 = 0 then pages end as pages from score_cache where id is not null and id not like '%,%' and score is not null""",
+    "ragged_cache": """select id || ', "b"' as id, volume, rel_path, src, score, case when length(id) % 2 = 0 then pages end as pages, signals from score_cache where id is not null and score is not null""",
 }

@@ -136,6 +136,19 @@ def coverage_panel(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.rank_models(overall_score(spark, folder), floor=0.02)
 
 
+def panel_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel with a pinned model and a coverage floor that fits coders."""
+    return scoring.panel_choice(overall_score(spark, folder), floor=0.02, pin="coder_05")
+
+
+def merged_vote(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each paper: gate, the label of every dimension with the seat and certainty of its prose, and where the panel was split."""
+    now = current(spark, folder)
+    seats = D.most_decided(now, 3)
+    sheets = cut(votes.panel_votes(now, seats))
+    return votes.merged_row(votes.panel_labels(sheets), votes.vote_dissent(sheets, seats))
+
+
 def category_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.category_scores(scoring.dimension_pairs(*_scored(spark, folder)), load(spark, folder, "schema_categories").filter("section = 'active'"))
 
@@ -210,7 +223,7 @@ def label_normalisers(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         positives_projection, decision_states, reference_coder, gate_tally, saved_decisions, incomplete_papers, rejected_minus_confirmed, confirmed_wide, fill_worklist, majority_gate,
-        majority_single, majority_multi, majority_multi_whole, panel_labels, dissent_stats, vote_dissent, dissent_stats_whole, gate_macro_f1, dimension_micro_f1, overall_score, coverage_panel, category_scores, worst_categories, paper_comparison,
+        majority_single, majority_multi, majority_multi_whole, panel_labels, dissent_stats, vote_dissent, dissent_stats_whole, gate_macro_f1, dimension_micro_f1, overall_score, coverage_panel, panel_choice, merged_vote, category_scores, worst_categories, paper_comparison,
         category_scores_whole, worst_categories_whole, paper_comparison_whole,
         model_metric_pivot, unanimous_failures, gate_crosstab, icr_alpha_kappa, gate_agreement, disagreement_worklist, key_differences, label_normalisers,
     )
@@ -305,6 +318,9 @@ SQL: dict[str, str] = {
     "overall_score": _GOLD + "select model, gate_score, typology, overall, n_scored, n_missing, coverage from ov",
     "coverage_panel": _GOLD + """, r as (select row_number() over (order by overall desc, model) as place, model, overall, round(overall - lead(overall) over (order by overall desc, model), 4) as margin
       from ov where coverage >= 0.02 and overall is not null) select place, model, overall, margin, coalesce(margin < 0.02, false) as narrow from r where place <= 3""",
+    "panel_choice": _GOLD + """, e as (select model, overall, row_number() over (order by overall desc, (model = 'coder_05')::int desc, model) as place from ov where coverage >= 0.02 and overall is not null),
+      m as (select *, round(overall - lead(overall) over (order by place), 4) as margin from e), p as (select * from m where place <= 3), n as (select count(*) as seats, max(margin) filter (place = 3) as last from p)
+      select place, model, overall, margin, case when seats = 2 then 'short of 3, both must agree' when seats < 3 then 'short of 3' when last < 0.02 then 'narrow' else '' end as reason from p, n""",
     "category_scores": _GOLD + "select * from cat",
     "worst_categories": _GOLD + "select model, dimension, category, f1 from cat where in_schema order by f1, tp + fn desc, model, dimension, category limit 40",
     "paper_comparison": _GOLD + "select * from cmp",

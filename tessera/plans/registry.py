@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import corpus, logs, panel, schemes, texts
+from tessera.plans import corpus, logs, panel, schemes, sets, texts
 
-MODULES = (corpus, panel, schemes, logs, texts)
+MODULES = (corpus, panel, schemes, sets, logs, texts)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}

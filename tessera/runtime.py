@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def session(cpus: int | str = "*", partitions: int = 8, memory: str = "20g") -> SparkSession:
+def session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -28,7 +28,7 @@ def session(cpus: int | str = "*", partitions: int = 8, memory: str = "20g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's, or in local mode a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = "file://" + tempfile.mkdtemp(prefix="tessera-")
     context.setCheckpointDir(local)
     return local

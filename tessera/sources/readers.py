@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.incremental import first_for_each_id, read_ragged
+from tessera.sources import pdf
 
 
 def corpus_files(spark: SparkSession, root: str, recursive: bool = False, content: bool = False) -> DataFrame:
@@ -18,15 +19,27 @@ def corpus_files(spark: SparkSession, root: str, recursive: bool = False, conten
 
 
 def checkpoints(spark: SparkSession, pattern: str) -> DataFrame:
-    """Union of the CSV checkpoints of a glob, deduplicated by id in file order; the file's place is the order."""
-    rows = spark.read.option("header", "true").option("mode", "DROPMALFORMED").csv(pattern)
-    placed = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
-    return first_for_each_id(placed, ["file", "at"]).drop("file", "at")
+    """Union of the CSV checkpoints of a glob, deduplicated by id in file order; the file's place is the order.
+
+    Files may lack columns that others have, cells may hold line breaks and doubled quotes. Short rows have nulls at their
+    end, and cells beyond the header's are dropped, but no row is.
+    """
+    folder = spark.read.format("binaryFile").load(pattern).select("path").orderBy("path").collect()
+    parts = [_csv(spark, r["path"]) for r in folder]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return first_for_each_id(rows, ["__file", "__at"]).drop("__file", "__at")
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    return rows.withColumn("__file", F.lit(path)).withColumn("__at", F.monotonically_increasing_id())
 
 
 def coder_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of ``coding_<name>.csv`` with the coder's name; files with a dot in the name are backups and left out."""
-    rows = spark.read.option("header", "true").csv(f"{folder}/coding_*.csv")
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(f"{folder}/coding_*.csv")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"coding_([^/]*)\.csv$", 1)
     return rows.withColumn("file_coder", name).filter(~F.col("file_coder").contains("."))
 
@@ -37,6 +50,12 @@ def log_lines(spark: SparkSession, path: str, separator: str = "\n", encoding: s
     return lines.withColumn("at", F.monotonically_increasing_id())
 
 
+def pdf_texts(spark: SparkSession, root: str, min_pages: int | None = None) -> DataFrame:
+    """(id, volume, pages, text, warnings) of the PDF files below a folder."""
+    files = corpus_files(spark, root, content=True)
+    return pdf.extract(files, min_pages).join(files.select("id", "volume"), "id")
+
+
 def score_cache(spark: SparkSession, path: str) -> DataFrame:
     return read_ragged(spark.read.text(path))
 

@@ -21,21 +21,31 @@ def append_checkpoint(rows: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def rewrite(rows: DataFrame, path: str, backup: bool = False) -> None:
-    """Replaces a folder only after the new one is whole; the old one can stay as a numbered backup."""
+    """Replaces a folder only after the new one is whole; the old one can stay as a numbered backup.
+
+    The old folder is renamed, the new one takes its place, and only then the old one goes; a failure in between leaves
+    both, the old one under its backup name or with the ending ``.old``.
+    """
     spark = rows.sparkSession
     fresh = f"{path}.{uuid.uuid4().hex}.tmp"
     rows.write.parquet(fresh)
     target, fs = _fs(spark, path)
     source, _ = _fs(spark, fresh)
+    kept = None
     if fs.exists(target):
+        kept = _fs(spark, f"{path}.{uuid.uuid4().hex}.old")[0]
         if backup:
             number = 0
             while fs.exists(kept := _fs(spark, f"{path}.bak{number or ''}")[0]):
                 number += 1
-            fs.rename(target, kept)
-        else:
-            fs.delete(target, True)
-    fs.rename(source, target)
+        if not fs.rename(target, kept):
+            raise OSError(f"cannot set aside {path}")
+    if not fs.rename(source, target):
+        if kept is not None:
+            fs.rename(kept, target)
+        raise OSError(f"cannot put the new rows at {path}")
+    if kept is not None and not backup:
+        fs.delete(kept, True)
 
 
 def write_manifests(staged: DataFrame, path: str) -> None:
