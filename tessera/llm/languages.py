@@ -20,6 +20,8 @@ from tessera.runtime import widen
 
 DIMENSIONS = 1024
 CACHED_GRAMS = 50_000
+#: What a change of language between two sentences costs, as a share of the nearest language's product.
+CHANGE = 0.2
 SAMPLE_ROWS = 500
 EPOCHS = 40
 RATE = 0.5
@@ -219,6 +221,27 @@ def train(texts: list[str], dimensions: int = DIMENSIONS, epochs: int = EPOCHS)
     return prototypes
 
 
+def steadied(products: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Labels of sentences where a change of language costs ``CHANGE``, so that a doubtful sentence follows its neighbours.
+
+    A sentence costs the share by which a language stays behind the nearest one; the cheapest sequence is taken.
+    """
+    loss = 1 - products / np.maximum(products.max(1, keepdims=True), 1e-9)
+    value, back = loss[0], []
+    for own in loss[1:]:
+        best = int(value.argmin())
+        change = value[best] + CHANGE < value
+        back.append(np.where(change, best, np.arange(len(value))))
+        value = np.where(change, value[best] + CHANGE, value) + own
+    state = int(value.argmin())
+    out = labels.copy()
+    for k in range(len(loss) - 1, -1, -1):
+        out[k] = state
+        if k:
+            state = int(back[k - 1][state])
+    return out
+
+
 def segments_of(text: str, nearest: Nearest) -> list[tuple[int, int, str, float, int]]:
     """(start, end, language, confidence, whole sentences) of every stretch of one language, in text order."""
     found: list[list] = []
@@ -227,14 +250,18 @@ def segments_of(text: str, nearest: Nearest) -> list[tuple[int, int, str, float,
         return []
     grams, starts, ends = sentence_grams(text, spans)
     products = nearest.products_of(grams, starts, ends)
-    order = products.argsort(axis=1)[:, ::-1]
-    for (a, b), near, ranks, size in zip(spans, products, order, ends - starts):
+    sizes = ends - starts
+    labels = products.argmax(axis=1)
+    long_enough = np.flatnonzero(sizes >= 2)
+    if len(long_enough) > 1 and (labels[long_enough] != labels[long_enough[0]]).any():
+        labels[long_enough] = steadied(products[long_enough], labels[long_enough])
+    for (a, b), near, label, size in zip(spans, products, labels, sizes):
         if size < 2:
             if found:
                 found[-1][1] = b
             continue
-        best, second = near[ranks[0]], near[ranks[1]]
-        code, confidence = LANGUAGES[ranks[0]], min(max(float((best - second) / max(best, 1e-9)), 0.0), 1.0)
+        rival = max(float(near[k]) for k in range(len(near)) if k != label)
+        code, confidence = LANGUAGES[label], min(max((float(near[label]) - rival) / max(float(near[label]), 1e-9), 0.0), 1.0)
         whole = int(bool(_ENDED.search(text[a:b])) and len(text[a:b].split()) >= 3)
         if found and found[-1][2] == code:
             last = found[-1]
@@ -270,8 +297,11 @@ def _detect(prototypes: np.ndarray, fields: list[str], keys: list[str]) -> Calla
 def training_sample(papers: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     """At most ``rows`` labelled papers, chosen by a hash of their number, for the prototypes."""
     usable = papers.filter(F.col("lang").isNotNull() & (F.col("text").isNotNull() | F.col("abstract").isNotNull()))
-    chosen = usable.filter(denoted(F.col("lang")).isNotNull()).select("paper_no", "abstract", "text")
-    taken = chosen.orderBy(F.xxhash64("paper_no"), "paper_no").limit(rows).collect()
+    chosen = usable.filter(denoted(F.col("lang")).isNotNull()).select("paper_no").orderBy(F.xxhash64("paper_no"), "paper_no").limit(rows)
+    numbers = [r["paper_no"] for r in chosen.collect()]  # numbers first, so that no texts are sorted
+    if not numbers:
+        return []
+    taken = papers.filter(F.col("paper_no").isin(numbers)).select("paper_no", "abstract", "text").orderBy("paper_no", "abstract", "text").limit(rows).collect()
     return [t for r in taken for t in (r["abstract"], r["text"]) if t]
 
 
