@@ -83,11 +83,12 @@ def salted_join(
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Repartition by keys (or evenly) into a fixed number of tasks, for small rows that cost much CPU each.
 
-    The number is given, so adaptive execution doesn't merge the partitions by their size in bytes.
+    The number is given, so adaptive execution doesn't merge the partitions by their size in bytes. Rows go by a hash of
+    the keys rather than by the keys: an exchange by the same keys below would else be taken for this one and merged.
     """
     spark = df.sparkSession
     count = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(count, *keys)
+    return df.repartition(count, F.xxhash64(*keys)) if keys else df.repartition(count)
 
 
 def widen(df: DataFrame) -> DataFrame:
