@@ -25,6 +25,8 @@ RARE_ROWS = 1_000
 EXCHANGES = 500
 RIDGE = 1e-3
 STEPS = 60
+#: Rows by which an expected count may miss its target.
+TOLERANCE = 1e-4
 UNKNOWN = "unknown"
 
 
@@ -124,7 +126,7 @@ def tilt(cells: np.ndarray, counts: np.ndarray, target: np.ndarray, size: float)
     for _ in range(STEPS):
         chance = 1 / (1 + np.exp(-np.clip(base + cells @ multipliers, -40, 40)))
         gradient = target - cells.T @ (counts * chance) - RIDGE * multipliers
-        if np.abs(gradient).max() < 1e-6:
+        if np.abs(gradient).max() < TOLERANCE:
             break
         hessian = (cells * (counts * chance * (1 - chance))[:, None]).T @ cells + RIDGE * np.eye(len(target))
         step, length = np.linalg.solve(hessian, gradient), 1.0
@@ -134,7 +136,7 @@ def tilt(cells: np.ndarray, counts: np.ndarray, target: np.ndarray, size: float)
         value = dual(multipliers)
     place = np.clip(base + cells @ multipliers, -40, 40)
     low, high = -80.0, 80.0
-    for _ in range(100):
+    for _ in range(50):
         middle = (low + high) / 2
         low, high = (middle, high) if counts @ (1 / (1 + np.exp(-(place + middle)))) < size else (low, middle)
     return 1 / (1 + np.exp(-(place + high)))
