@@ -143,7 +143,7 @@ class Lexicon:
         self.by_key = by_key
         self.often, self.some = self.total * SPLIT_OFTEN, max(2.0, self.total * SPLIT_SOME)
         self.memory: dict[str, tuple[str, float]] = {}
-        self.chunks: dict[str, tuple[str, bool]] = {}
+        self.chunks: dict[str, tuple[str, bool, bool]] = {}
 
     def recording(self) -> tuple[Lexicon, Asked, Asked]:
         """The same lexicon with tables that write down what they lack; a key with one word only lacks a second."""
@@ -184,15 +184,16 @@ class Lexicon:
         self.memory[seen] = best, cost
         return best, cost
 
-    def look_up(self, chunk: str) -> tuple[str, bool]:
-        """The chunk's core, and whether it can be settled alone: a known word that is no misreading, or no word at all."""
+    def look_up(self, chunk: str) -> tuple[str, bool, bool]:
+        """The chunk's core, whether it can be settled alone (a known word that is no misreading, or no word at all), and whether it is rare."""
         found = self.chunks.get(chunk)
         if found is None:
             word = core(chunk)
             plain = not word or not any(c.isalpha() for c in word) or (self.counts.get(word, 0) >= 2 and self.decode(word)[0] == word)
             if len(self.chunks) > 300_000:
                 self.chunks.clear()
-            found = self.chunks[chunk] = word, plain
+            rare = plain and len(word) > 2 and word.isalpha() and self.counts.get(word, 0) <= self.some
+            found = self.chunks[chunk] = word, plain, rare
         return found
 
     def right_word(self, seen: str, own: int, odd: bool) -> str | None:
@@ -249,6 +250,8 @@ _SERIES = re.compile(confusion_key("lni") + r"[\dobsgzi]{2,7}" + "w[a-z]{6,16}")
 _VOLUME = re.compile(confusion_key("band") + r"[\dobsgzi]{1,7}.{8,60}?[\dobsgzi]{1,4}")
 
 
+#: How lines that name a series or a volume may start, misread or behind a page number.
+_SERIES_START = re.compile(r"(?i)(?:\W|[\doszgbil|!]{1,4}\s)*(?:[l1i|!]\s?n\s?[i1l|!íì]|[b68hß]\s?[aäáàâ@])")
 _KEYED = re.compile(r"[\w|!@†$]")
 _FOLDED = {(confusion_key(seen[:1]), confusion_key(meant[:1])) for seen, meant in PAIRS}
 
@@ -293,7 +296,7 @@ def furniture_lines(lines: list[str], title: str | None, authors: str | None) ->
     lines = [" ".join(raw.split()) for raw in lines]
     found = repeated_lines(lines) if len(lines) > 2 * REPEATS else set()
     title_key, author_key = header_key(title or ""), header_key(authors or "")
-    first = first_letters({title_key[:1], author_key[:1], confusion_key("l"), confusion_key("b")})
+    first = first_letters({title_key[:1], author_key[:1]})
     longest = max(110, len(title or "") + 12, len(authors or "") + 12)
     seen: dict[str, list[int]] = {}
     for i, line in enumerate(lines):
@@ -306,13 +309,14 @@ def furniture_lines(lines: list[str], title: str | None, authors: str | None) ->
         upper = line.isupper()
         dotted = tail == "…" or tail == "." and line.endswith("...") or "…" in line[-6:] or "..." in line[-9:]
         numbered = head in _NUMERIC or tail in _NUMERIC
-        if not (upper or dotted or numbered or "." in line[1:3] or _may_open(line, first)):
+        series = bool(_SERIES_START.match(line))
+        if not (upper or dotted or numbered or series or "." in line[1:3] or _may_open(line, first)):
             continue
         bare = without_number(line)
         cut_off = bare.endswith(("…", "..."))
         names = bare[1:2] == "." and bool(_INITIALS.fullmatch(bare))
         start = _KEYED.search(bare)
-        if (not start or confusion_key(start[0].lower()) not in first) and not (cut_off or names or bare.isupper()):
+        if not series and (not start or confusion_key(start[0].lower()) not in first) and not (cut_off or names or bare.isupper()):
             continue
         key = header_key(bare)
         numbered = bare != line
@@ -435,17 +439,17 @@ def decode_stream(stream: Stream, lexicon: Lexicon) -> list[Found]:
     known = lexicon.chunks
     look_up, get = lexicon.look_up, known.get
     looked_up = [get(t) or look_up(t) for t in texts]
-    is_open = {i for i, (_, plain) in enumerate(looked_up) if not plain}
+    is_open = {i for i, found in enumerate(looked_up) if not found[1]}
     for i in stream.hyphens:
         is_open.add(i)
         if i + 1 < n:
             is_open.add(i + 1)
-    counts, rare = lexicon.counts, lexicon.some
-    for i, (word, plain) in enumerate(looked_up):
-        if plain and len(word) > 2 and word.isalpha() and (own := counts.get(word, 0)) <= rare:
-            for a, b in ((i - 1, i), (i, i + 1)):
-                if 0 <= a and b < n and texts[a][-1:].isalpha() and looked_up[a][0].isalpha() and looked_up[b][0].isalpha() and counts.get(looked_up[a][0] + looked_up[b][0], 0) >= TIMES_AS_FREQUENT * max(own, 1):
-                    is_open |= {a, b}
+    counts = lexicon.counts
+    for i in [i for i, found in enumerate(looked_up) if found[2]]:
+        own = counts.get(looked_up[i][0], 0)
+        for a, b in ((i - 1, i), (i, i + 1)):
+            if 0 <= a and b < n and texts[a][-1:].isalpha() and looked_up[a][0].isalpha() and looked_up[b][0].isalpha() and counts.get(looked_up[a][0] + looked_up[b][0], 0) >= TIMES_AS_FREQUENT * max(own, 1):
+                is_open |= {a, b}
     out: list[Found] = []
     end = -1
     for i in sorted(is_open):
@@ -454,7 +458,7 @@ def decode_stream(stream: Stream, lexicon: Lexicon) -> list[Found]:
         end = i
         while end + 1 in is_open:
             end += 1
-        out.extend(_region(stream, [word for word, _ in looked_up[i : end + 1]], i, end + 1, lexicon))
+        out.extend(_region(stream, [found[0] for found in looked_up[i : end + 1]], i, end + 1, lexicon))
     return out
 
 
