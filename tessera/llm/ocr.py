@@ -668,9 +668,10 @@ REPAIRED = f"paper_no long, field string, repaired string, changes array<{CHANGE
 
 def _repaired(batch: pd.DataFrame, lexicon: Callable[[int], Lexicon]) -> pd.DataFrame:
     out: dict[str, list] = {"paper_no": [], "field": [], "repaired": [], "changes": []}
+    texts = {field: batch[field].tolist() for field in FIELDS}
     for row, (number, title, authors) in enumerate(zip(batch["paper_no"], batch["title"], batch["authors"])):
         for field in FIELDS:
-            text = batch[field].iloc[row]
+            text = texts[field][row]
             if not text or not text.strip():
                 continue
             repaired, changes = repair(text, title, authors, lexicon(row))
@@ -700,7 +701,7 @@ def repair_papers(papers: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
     ``words`` most frequent ones are broadcast; if there are more, a pass before finds out which of them each paper needs.
     """
     spark = papers.sparkSession
-    counts = cut(word_counts(papers))
+    counts = cut(word_counts(papers)).select("word", "n")
     held, total = fit_lexicon(counts, words), counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shared = spark.sparkContext.broadcast(held)
     narrow = widen(papers.select("paper_no", "title", "authors", *FIELDS))
@@ -725,7 +726,7 @@ def repair_papers(papers: DataFrame, words: int = LEXICON_WORDS) -> DataFrame:
 
     fields = f"paper_no long, title string, authors string, {', '.join(f'{f} string' for f in FIELDS)}"
     asked = cut(narrow.mapInPandas(ask, f"{fields}, words array<string>, keys array<string>").withColumn("row", F.expr("uuid()")))
-    rest = cut(counts.join(F.broadcast(spark.createDataFrame([(min(held.values()),)], "least long")), F.col("n") <= F.col("least")).select("word", "n"))
+    rest = cut(counts.filter(F.col("n") <= min(held.values())))  # those of the bound's own count are told apart by the broadcast words
     word_rows = asked.select("row", F.explode("words").alias("word")).join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     key_rows = asked.select("row", F.explode("keys").alias("key")).join(_keyed(rest), "key").groupBy("row").agg(F.collect_list(F.struct("key", "word", "n")).alias("keyed"))
 
