@@ -114,3 +114,18 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
     return ratio(2.0 * tp, 2 * tp + fp + fn)
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The first characters of a text, as a prompt takes them."""
+    return F.substring(text, 1, most)
+
+
+def shown(number: Column, places: int = 3) -> Column:
+    """A figure for a report: rounded, or ``-`` where there is none."""
+    return F.coalesce(F.format_number(F.when(~F.isnan(number), number), places), F.lit("-"))
+
+
+def same(left: Column, right: Column) -> Column:
+    """Whether two nested values are equal in all parts, nulls included."""
+    return F.coalesce(F.to_json(F.struct(left.alias("v"))), F.lit("")) == F.coalesce(F.to_json(F.struct(right.alias("v"))), F.lit(""))

@@ -202,6 +202,15 @@ def bench(items: DataFrame, template: str, clients: dict[str, Client], path: str
     return spark.read.parquet(path)
 
 
+def annotate_missing(sample: DataFrame, papers: DataFrame, template: str, client: Client, path: str, partitions: int = 1) -> DataFrame:
+    """Answers to the sampled papers: those in ``path`` already, and the others, which are asked for and added to it."""
+    spark = papers.sparkSession
+    wanted = papers.join(sample.select("id").distinct(), "id", "left_semi")
+    done = written(spark, path)
+    annotate(wanted if done is None else undone(wanted, done), template, client, partitions).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(sample.select("id").distinct(), "id", "left_semi")
+
+
 def reannotation(rows: DataFrame, gate: Column, order: list[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(worklist, kept): ids of accepted rows in order, at most ``limit``, and the rows that stay when those are purged to be asked again."""
     accepted = rows.filter(gate == 1).groupBy("id").agg(F.min(F.struct(*order)).alias("o")).orderBy("o", "id")

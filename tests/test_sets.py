@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import labels
-from tessera.operators import annotate, incremental, manifests, sections, vocabulary
+from tessera.operators import annotate, incremental, manifests, preflight, sections, vocabulary
 from tessera.operators.decisions import DIMENSIONS, GATE
+from tessera.plans import stages
 from tessera.sources import pdf, readers, sinks
 
 
@@ -139,3 +140,50 @@ def test_rolling_means_over_days(spark):
         near = [v for v in ordered[max(0, at - 8) : at + 1] if v is not None]
         assert got["a", t] == pytest.approx(sum(near) / len(near)) if near else got["a", t] is None
     assert got["b", 1] is None and labels is not None
+
+
+def test_preflight_and_staging(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text("one")
+    (tmp_path / "in" / "b.pdf").write_text("two")
+    root = f"file://{tmp_path}"
+    preflight.require(spark, corpus=f"{root}/in")
+    with pytest.raises(FileNotFoundError, match="prompt .*none"):
+        preflight.require(spark, corpus=f"{root}/in", prompt=f"{root}/none")
+    assert preflight.discover(spark, [root, f"{root}/in"], "a.*").endswith("in/a.pdf")
+    for pattern in ("*.pdf", "c.*"):
+        with pytest.raises(FileNotFoundError):
+            preflight.discover(spark, [f"{root}/in"], pattern)
+    files = frame(spark, [("a.pdf",), ("a.pdf",), ("b.pdf",), ("gone.pdf",), (None,)], "rel_path string")
+    with pytest.raises(ValueError):
+        preflight.stage_files(files, root, f"{root}/in")
+    for copied in ({"a.pdf", "b.pdf"}, set()):
+        got = preflight.stage_files(files, f"{root}/in", f"{root}/out").collect()
+        assert {r["rel_path"] for r in got if r["copied"]} == copied and len(got) == 3
+    assert (tmp_path / "out" / "b.pdf").read_text() == "two"
+    assert preflight.prompt_sections("intro\n## System\nbe brief\n\n## User\nask") == {"": "intro", "System": "be brief", "User": "ask"}
+
+
+def test_models_are_asked_once_about_each_paper(spark, tmp_path):
+    items = frame(spark, [("p", "t"), ("q", "u")], "id string, title string")
+    answer = lambda prompt: json.dumps({GATE: 1, "typology": {"techstack": {"categories": [prompt]}}})
+    path = f"file://{tmp_path}/bench"
+    for _ in range(2):
+        got = annotate.bench(items, "{row['title']}", {"m": answer, "n": answer}, path)
+        assert sorted((r["model"], r["id"], r["techstack"]) for r in got.collect()) == [("m", "p", "t"), ("m", "q", "u"), ("n", "p", "t"), ("n", "q", "u")]
+    sample = frame(spark, [("q",), ("q",), ("none",)], "id string")
+    for _ in range(2):
+        assert [(r["id"], r["techstack"]) for r in annotate.annotate_missing(sample, items, "{row['title']}", answer, f"file://{tmp_path}/missing").collect()] == [("q", "u")]
+
+
+def test_helpers_and_stages(spark):
+    row = spark.range(1).select(
+        labels.truncated(F.lit("abcdef"), 3).alias("t"), labels.shown(F.lit(0.12345)).alias("n"), labels.shown(F.lit(None).cast("double")).alias("d"), labels.shown(F.lit(float("nan"))).alias("x"),
+        labels.same(F.array(F.lit(1), F.lit(None)), F.array(F.lit(1), F.lit(None))).alias("same"), labels.same(F.lit(None), F.lit("a")).alias("other"),
+    ).first()
+    assert tuple(row) == ("abc", "0.123", "-", "-", True, False)
+    assert all(query in stages.QUERIES for stage in stages.STAGES for query in stage.queries)
+    with pytest.raises(PermissionError):
+        stages.run("annotate", spark, "/nowhere")
+    with pytest.raises(KeyError):
+        stages.run("none", spark, "/nowhere")
