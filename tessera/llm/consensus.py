@@ -3,8 +3,9 @@
 Votes of an item lie in one row (at most one vote for each coder), so a task sums how often each pair of coders met and
 agreed into one small table; no pair rows of single items leave it. Chance-corrected agreement of two coders is the
 product of their skills; each triplet of a coder with two partners gives one estimate of its skill, their weighted median
-is taken. Votes are combined with log-odds weights and the labels' shares as prior. Everything about coders and labels is
-joined, nothing is collected.
+is taken, over all triplets that the pairs close. Coders go to tasks in blocks, each with the pairs among its partners, so
+no triplet leaves a task. Votes are combined with log-odds weights and the labels' shares as prior. Everything about
+coders and labels is joined, nothing is collected.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ NULL_WORDS = ("", "nan", "none", "null")
 MIN_SHARED = 3
 PRIOR_SKILL = 0.5
 PRIOR_WEIGHT = 4.0
-#: Partners of a coder, those it met most often, of which its triplets are made; more add nothing to the median.
-PARTNERS = 64
 PAIRS_HELD = 500_000
+#: Pairs for which one more block of coders is made, beyond two for each core.
+BLOCK_PAIRS = 500_000
 
 
 def coder_key(name: Column) -> Column:
@@ -114,23 +115,62 @@ def median_skill(own_j: np.ndarray, own_k: np.ndarray, other: np.ndarray, met_j:
         return None
     square = own_j[good] * own_k[good] / other[good]
     weight = 1 / (1 / met_j[good] + 1 / met_k[good] + 1 / met[good]) * other[good] ** 2
-    order = np.argsort(square, kind="stable")
-    place = np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)
+    order = np.argsort(square)
+    below = np.cumsum(weight[order])
+    place = np.searchsorted(below, below[-1] / 2)
     return float(np.sqrt(np.clip(square[order][min(place, len(order) - 1)], 0, 0.98)))
 
 
-def _skills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for dimension, coder, support, lean, triplets in zip(batch["dimension"], batch["coder"], batch["support"], batch["lean"], batch["triplets"]):
-            value = None
-            if triplets is not None and len(triplets):
-                columns = [np.array([t[name] for t in triplets], dtype=float) for name in ("own_j", "own_k", "other", "met_j", "met_k", "met")]
-                value = median_skill(*columns)
-            sign = -1.0 if lean < 0 else 1.0
-            skill = PRIOR_SKILL if value is None else sign * (value * support + PRIOR_SKILL * PRIOR_WEIGHT) / (support + PRIOR_WEIGHT)
-            out.append((dimension, coder, skill, int(support)))
-        yield pd.DataFrame(out, columns=["dimension", "coder", "skill", "shared"])
+def _block_skills(rows: pd.DataFrame) -> pd.DataFrame:
+    """(number, value): skills without sign of a block's coders.
+
+    Rows are the coders' own pairs and, once for each pair, those among their partners.
+    """
+    own, among = rows[rows["own"]].sort_values("a"), rows[~rows["own"]].sort_values("a")
+    nodes, coded = np.unique(np.concatenate([own["b"], among["a"], among["b"]]), return_inverse=True)
+    partner, first, second = np.split(coded, [len(own), len(own) + len(among)])
+    kappa, met, other, other_met = (part[name].to_numpy() for part in (own, among) for name in ("kappa", "met"))
+    start = np.searchsorted(first, np.arange(len(nodes) + 1))
+    coders, begin = np.unique(own["a"], return_index=True)
+    place = np.full(len(nodes), -1)
+    out = []
+    for coder, lo, hi in zip(coders, begin, [*begin[1:], len(own)]):
+        mine, k, m = partner[lo:hi], kappa[lo:hi], met[lo:hi]
+        place[mine] = np.arange(hi - lo)
+        counts = start[mine + 1] - start[mine]
+        at = np.repeat(start[mine] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        right = place[second[at]]
+        closed = right >= 0
+        left, right, at = np.repeat(np.arange(hi - lo), counts)[closed], right[closed], at[closed]
+        place[mine] = -1
+        value = median_skill(k[left], k[right], other[at], m[left], m[right], other_met[at])
+        if value is not None:
+            out.append((coder, value))
+    return pd.DataFrame(out, columns=["number", "value"]).astype({"number": "int64", "value": "float64"})
+
+
+def triplet_skills(rates: DataFrame) -> DataFrame:
+    """(dimension, coder, support, lean, value): met items, met-weighted agreement and the median over all triplets of a coder, null without any.
+
+    A pair goes to the blocks that hold a partner of both its coders, and is kept at the coder with fewer partners, where
+    at most the root of twice the number of pairs meet; a coder that met everybody is no hot key.
+    """
+    count = max(2 * rates.sparkSession.sparkContext.defaultParallelism, -(-rates.count() // BLOCK_PAIRS))
+    block = lambda name: F.pmod(F.xxhash64("dimension", name), F.lit(count)).cast("int")
+    coders = rates.groupBy("dimension", F.col("a").alias("coder")).agg(
+        F.sum("met").alias("support"), F.sum(F.col("kappa") * F.col("met")).alias("lean"), F.count("*").alias("partners"), F.collect_set(block("b")).alias("blocks")
+    )
+    coders = cut(coders.withColumn("number", F.monotonically_increasing_id()))
+    known = bounded_broadcast(coders.select("dimension", "coder", "number", "partners", "blocks"))
+    side = lambda name: known.select("dimension", F.col("coder").alias(name), F.struct("partners", "number").alias(f"{name}_rank"), F.col("blocks").alias(f"{name}_blocks"))
+    sided = rates.join(side("a"), ["dimension", "a"]).join(side("b"), ["dimension", "b"])
+    own = F.array(F.struct(block("a").alias("block"), F.lit(True).alias("own")))
+    among = F.transform(F.array_intersect("a_blocks", "b_blocks"), lambda x: F.struct(x.alias("block"), F.lit(False).alias("own")))
+    sent = sided.select(F.explode(F.when(F.col("a_rank") < F.col("b_rank"), F.concat(own, among)).otherwise(own)).alias("to"), F.col("a_rank.number").alias("a"), F.col("b_rank.number").alias("b"), "kappa", "met")
+    # The number is given, so that adaptive execution doesn't merge the blocks by their size in bytes.
+    blocks = sent.select("to.block", "to.own", "a", "b", "kappa", "met").repartition(count, "block")
+    values = blocks.groupBy("block").applyInPandas(_block_skills, "number long, value double")
+    return coders.join(values, "number", "left").select("dimension", "coder", "support", "lean", "value")
 
 
 def coder_reliability(votes: DataFrame) -> DataFrame:
@@ -140,17 +180,11 @@ def coder_reliability(votes: DataFrame) -> DataFrame:
     part of votes that is knowledge; the rest hits the right label as often as chance does.
     """
     rates = cut(pair_rates(votes))
-    most = Window.partitionBy("dimension", "a").orderBy(F.desc("met"), "b")
-    partners = rates.withColumn("at", F.row_number().over(most)).filter(F.col("at") <= PARTNERS)
-    near = partners.groupBy("dimension", "a").agg(F.collect_list(F.struct("b", "kappa", "met")).alias("p"))
-    two = near.select("dimension", "a", F.explode("p").alias("j"), "p").select("dimension", "a", "j", F.explode(F.filter("p", lambda k: k["b"] > F.col("j.b"))).alias("k"))
-    named = two.select("dimension", F.col("a").alias("coder"), F.col("j.b").alias("a"), F.col("k.b").alias("b"), F.col("j.kappa").alias("own_j"), F.col("k.kappa").alias("own_k"), F.col("j.met").alias("met_j"), F.col("k.met").alias("met_k"))
-    closed = named.join(rates.withColumnRenamed("kappa", "other"), ["dimension", "a", "b"])
-    triplets = closed.groupBy("dimension", "coder").agg(F.collect_list(F.struct("own_j", "own_k", "other", "met_j", "met_k", "met")).alias("triplets"))
-    totals = rates.groupBy("dimension", F.col("a").alias("coder")).agg(F.sum("met").alias("support"), F.sum(F.col("kappa") * F.col("met")).alias("lean"))
     everyone = votes.filter("label is not null").select("dimension", "coder").distinct()
-    known = everyone.join(totals, ["dimension", "coder"], "left").join(triplets, ["dimension", "coder"], "left").fillna(0.0, ["support", "lean"])
-    skills = known.mapInPandas(_skills, "dimension string, coder string, skill double, shared long")
+    known = everyone.join(triplet_skills(rates), ["dimension", "coder"], "left").fillna(0.0, ["support", "lean"])
+    sign = F.when(F.col("lean") < 0, -1.0).otherwise(1.0)
+    skill = F.coalesce(sign * (F.col("value") * F.col("support") + PRIOR_SKILL * PRIOR_WEIGHT) / (F.col("support") + PRIOR_WEIGHT), F.lit(PRIOR_SKILL))
+    skills = known.select("dimension", "coder", skill.alias("skill"), F.col("support").cast("long").alias("shared"))
     labels = votes.filter("label is not null").groupBy("dimension", "label").agg(F.sum("weight").alias("n"))
     luck = labels.groupBy("dimension").agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), 2)).alias("luck"))
     accuracy = F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("skill") + (1 - F.col("skill")) * F.col("luck")))

@@ -156,6 +156,56 @@ def test_many_coders(spark):
     assert coders.count() == len({r[2] for r in rows})
 
 
+def skills_by_hand(rates):
+    """Medians over every two partners of a coder that met each other."""
+    pairs = {(r["a"], r["b"]): (r["kappa"], r["met"]) for r in rates}
+    found = {}
+    for coder in {a for a, _ in pairs}:
+        near = sorted(b for a, b in pairs if a == coder)
+        closed = [(*pairs[coder, j], *pairs[coder, k], *pairs[j, k]) for i, j in enumerate(near) for k in near[i + 1 :] if (j, k) in pairs]
+        if closed:
+            own_j, met_j, own_k, met_k, other, met = map(np.array, zip(*closed))
+            found[coder] = consensus.median_skill(own_j, own_k, other, met_j, met_k, met)
+    return {c: v for c, v in found.items() if v is not None}
+
+
+@pytest.mark.parametrize("pairs_of_a_block", [500_000, 60])
+def test_every_triplet_of_a_coder_counts(spark, monkeypatch, pairs_of_a_block):
+    """Ninety coders that met one another, some far more often than others; two more met few, or a single one."""
+    monkeypatch.setattr(consensus, "BLOCK_PAIRS", pairs_of_a_block)
+    draw = random.Random(8)
+    right = {f"c{i}": draw.choice([0.95, 0.8, 0.7, 0.3]) for i in range(90)}
+    often = {c: draw.choice([0.25, 0.5, 0.9]) for c in right}
+    rows = []
+    for item in range(60):
+        for coder, p in right.items():
+            if draw.random() < often[coder]:
+                rows.append((consensus.GATE, f"p{item}", coder, str(int(draw.random() < p)), 1.0))
+    rows += [(consensus.GATE, f"q{i}", c, str(i % 2), 1.0) for i in range(4) for c in ("lone", "c0")] + [(consensus.GATE, f"r{i}", c, str(i % 2), 1.0) for i in range(4) for c in ("few", "c0", "c1")]
+    votes = frame(spark, rows, "dimension string, id string, coder string, label string, weight double")
+    rates = consensus.pair_rates(votes)
+    expected = skills_by_hand(rates.collect())
+    got = {r["coder"]: r["value"] for r in consensus.triplet_skills(consensus.cut(rates)).collect()}
+    assert {c for c, v in got.items() if v is None} == {"lone"} == set(got) - set(expected)
+    assert max(abs(got[c] - v) for c, v in expected.items()) < 1e-9
+
+
+def test_partners_beyond_the_most_met_count(spark):
+    """The partners a coder met most often repeat its errors; those it met less often know its skill."""
+    draw = random.Random(4)
+    rows = []
+    for item in range(300):
+        truth = item % 2
+        said = truth if draw.random() < 0.6 else 1 - truth
+        votes = {"x": said}
+        votes |= {f"copy{i}": said if draw.random() < 0.9 else 1 - said for i in range(66) if draw.random() < 0.5}
+        if item < 100:
+            votes |= {f"good{i}": truth if draw.random() < 0.95 else 1 - truth for i in range(140)}
+        rows += [(consensus.GATE, f"p{item}", c, str(v), 1.0) for c, v in votes.items()]
+    found = {r["coder"]: r["accuracy"] for r in consensus.coder_reliability(frame(spark, rows, "dimension string, id string, coder string, label string, weight double")).collect()}
+    assert found["x"] < 0.75
+
+
 def test_cells_with_several_labels_are_split_votes(spark):
     entries = [(consensus.POSITION, *e[1:]) for e in ENTRIES]
     rows = [(1, "p", "a", "feldversuch;langzeitbeobachtung"), (2, "p", "b", "Feldversuch"), (3, "p", "c", "langzeitbeobachtung;???"), (4, "p", "d", "Feldversuch, feldversuch"), (5, "q", "a", "???")]
